@@ -6,9 +6,8 @@ dealt round robin into groups of about ``GROUP_PIECES``, so no key can make a
 group large, and each group is packed in one task: best-fit decreasing first,
 then a local search that empties underfull sequences. It takes the emptiest and
 moves a piece to another underfull one, exchanges one piece for a smaller one
-there, or two pieces for one, always increasing the squared fill, until the
-sequence is empty, no exchange helps, or the number of sequences has reached the
-bound that the token count sets. A group wastes less than one sequence beyond
+there, or two pieces for one, always increasing the squared fill, until a
+round empties no sequence or their number has reached a lower bound. A group wastes less than one sequence beyond
 that bound when its pieces allow it, a share that does not grow with the input.
 
 The ids are those of ``tokenizers`` for the vocabulary file; tiktoken computes
@@ -25,7 +24,6 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
-from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,65 +120,84 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def fewest_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound: of the tokens, and of pieces too long to share a bin with ones above each size."""
+    best = -(-int(lengths.sum()) // capacity)
+    half = lengths > capacity // 2
+    for least in np.unique(lengths[~half]).tolist():
+        alone = lengths > capacity - least
+        large, small = half & ~alone, ~half & (lengths >= least)
+        spare = int(large.sum()) * capacity - int(lengths[large].sum())
+        best = max(best, int(alone.sum() + large.sum()) + max(0, -(-(int(lengths[small].sum()) - spare) // capacity)))
+    return max(best, int(half.sum()))
+
+
 class LocalSearch:
-    """Underfull bins whose pieces are moved and exchanged until bins empty."""
+    """Pieces of underfull bins, moved and exchanged until bins empty.
+
+    A round takes each underfull bin, the emptiest first, and applies the exchange
+    of highest gain in squared fill as long as one gains ``capacity``. The search
+    ends at the lower bound, or when a round has emptied no bin.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
-        self.lengths, self.capacity = lengths, capacity
-        fill = [int(lengths[b].sum()) for b in bins]
-        self.done = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
-        self.open = [b for b, f in zip(bins, fill, strict=True) if f < capacity]
-        self.fill = [f for f in fill if f < capacity]
+        fill = np.array([lengths[b].sum() for b in bins])
+        self.full = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
+        underfull = [b for b, f in zip(bins, fill, strict=True) if f < capacity]
+        self.capacity, self.fill = capacity, fill[fill < capacity]
+        self.item = np.array([i for b in underfull for i in b], dtype=np.int64)
+        self.size = lengths[self.item]
+        self.bin = np.repeat(np.arange(len(underfull)), [len(b) for b in underfull])
+        self.least = fewest_bins(lengths, capacity) - len(self.full)
 
     def run(self) -> list[list[int]]:
-        least = -(-sum(self.fill) // self.capacity)
-        improved = True
-        while improved and sum(map(bool, self.open)) > least:
-            improved = False
-            order = sorted((b for b in range(len(self.open)) if self.open[b]), key=lambda b: self.fill[b])
-            for source in order:
-                while self.open[source] and self._step(source):
-                    improved = True
-                if sum(map(bool, self.open)) <= least:
-                    break
-        return self.done + [b for b in self.open if b]
-
-    def _step(self, source: int) -> bool:
-        """The best exchange that takes tokens out of ``source``; False if none raises the squared fill."""
-        others = [b for b in range(len(self.open)) if b != source and self.open[b] and self.fill[b] < self.capacity]
-        if not others:
-            return False
-        gap = np.array([self.capacity - self.fill[b] for b in others])
-        own = sorted({int(self.lengths[i]): i for i in self.open[source]}.items())
-        movable = [(size, i) for size, i in own if size <= gap.max()]
+        used, emptied = len(self.fill), True
+        while emptied and used > self.least:
+            emptied = False
+            for source in np.argsort(self.fill, kind="stable"):
+                if not self.fill[source]:
+                    continue
+                while self.fill[source] and self._exchange(source):
+                    pass
+                if not self.fill[source]:
+                    emptied, used = True, used - 1
+                    if used <= self.least:
+                        break
+        order = np.argsort(self.bin, kind="stable")
+        kept = np.split(self.item[order], np.flatnonzero(np.diff(self.bin[order])) + 1) if len(order) else []
+        return self.full + [b.tolist() for b in kept]
+
+    def _exchange(self, source: int) -> bool:
+        own = np.flatnonzero(self.bin == source)
+        offers = {int(self.size[k]): [k] for k in own}
+        room = self.capacity - self.fill
+        room[source] = 0
+        room[self.fill == 0] = 0
+        movable = [size for size in offers if size <= room.max(initial=0)]
         if movable:
-            size, i = movable[-1]
-            fits = np.flatnonzero(gap >= size)
-            return self._apply(source, others[fits[np.argmin(gap[fits])]], [i], [])
-        bin_of = np.repeat(np.arange(len(others)), [len(self.open[b]) for b in others])
-        item = np.concatenate([self.open[b] for b in others])
-        room = gap[bin_of]
-        taken = {size: [i] for size, i in own}
-        for k, i in enumerate(self.open[source]):
-            for j in self.open[source][:k]:
-                taken.setdefault(int(self.lengths[i] + self.lengths[j]), [i, j])
-        best, choice = 0, None
-        for size, mine in taken.items():
-            more = size - self.lengths[item]
-            gain = np.where((more > 0) & (more <= room), more * (self.capacity - room - self.fill[source] + more), 0)
-            at = int(np.argmax(gain))
-            if gain[at] > best:
-                best, choice = gain[at], (others[bin_of[at]], mine, [int(item[at])])
-        return choice is not None and self._apply(source, *choice)
+            size = max(movable)
+            return self._apply(source, int(np.argmin(np.where(room >= size, room, self.capacity + 1))), offers[size], [])
+        for a, k in enumerate(own.tolist()):
+            for other in own[:a].tolist():
+                offers.setdefault(int(self.size[k] + self.size[other]), [k, other])
+        space, (best, choice) = room[self.bin], (self.capacity - 1, None)
+        candidates = np.flatnonzero(space > 0)
+        size, space, fill = self.size[candidates], space[candidates], self.fill[self.bin[candidates]]
+        for offered, give in offers.items():
+            more = offered - size
+            gain = np.where((more > 0) & (more <= space), 2 * more * (fill - self.fill[source] + more), 0)
+            at = int(np.argmax(gain)) if len(gain) else 0
+            if len(gain) and gain[at] > best:
+                best, choice = gain[at], (give, candidates[at])
+        if choice is None:
+            return False
+        give, take = choice
+        return self._apply(source, int(self.bin[take]), give, [take])
 
     def _apply(self, source: int, target: int, give: list[int], take: list[int]) -> bool:
-        moved = int(self.lengths[give].sum() - (self.lengths[take].sum() if take else 0))
-        for i in give:
-            self.open[source].remove(i)
-            insort(self.open[target], i)
-        for i in take:
-            self.open[target].remove(i)
-            insort(self.open[source], i)
+        moved = int(self.size[give].sum()) - int(self.size[take].sum() if take else 0)
+        self.bin[give] = target
+        self.bin[take] = source
         self.fill[source] -= moved
         self.fill[target] += moved
         return True
