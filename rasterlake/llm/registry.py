@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import chat, decontaminate, html, lines, near, packing, quality
+from rasterlake.llm import chat, decontaminate, html, language, lines, near, packing, quality
 from rasterlake.llm.shared import table
 
 
@@ -21,6 +21,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -50,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_language_id": op4_language_id,
     "op5_html_extraction": op5_html_extraction,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
