@@ -32,11 +32,19 @@ def segment_distance(px: Column, py: Column, ax: float, ay: float, bx: float, by
     return F.sqrt((px - (ax + t * dx)) ** 2 + (py - (ay + t * dy)) ** 2)
 
 
-def nice(span: Column) -> Column:
-    """The nearest 1, 2, 5 or 10 times a power of ten."""
-    power = F.floor(F.log10(span))
-    part = span / F.pow(F.lit(10.0), power)
-    return F.when(part < 1.5, 1.0).when(part < 3.0, 2.0).when(part < 7.0, 5.0).otherwise(10.0) * F.pow(F.lit(10.0), power)
+def nice(x: Column, nearest: bool) -> Column:
+    """The nearest 1, 2, 5 or 10 times a power of ten, or the smallest that encloses x; 1 for x <= 0."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    part = x / power
+    a, b, c = (part < 1.5, part < 3.0, part < 7.0) if nearest else (part <= 1.0, part <= 2.0, part <= 5.0)
+    return F.when(x <= 0, 1.0).otherwise(F.when(a, 1.0).when(b, 2.0).when(c, 5.0).otherwise(10.0) * power)
+
+
+def ticks(lo: Column, hi: Column, target: int, most: int = 64) -> Column:
+    """Evenly spaced nice values that span [lo, hi]."""
+    step = nice(nice(hi - lo, False) / (max(target, 2) - 1), True)
+    first, last = F.floor(lo / step), F.ceil(hi / step)
+    return F.when(hi <= lo, F.array(lo)).otherwise(F.transform(F.sequence(first, F.least(last, first + most - 1)), lambda k: k * step))
 
 
 def level_size(n: Column, level: Column) -> Column:
