@@ -4,8 +4,10 @@ Documents are rows and shingles columns of a sparse incidence matrix. Documents
 with the same set are one row. The columns are ordered by a corpus-wide count
 (rare first), which makes a block of each row, its first ``n - ceil(0.85 n) + 1``
 columns, that two linked rows can't both miss. The product over that block finds
-the pairs; pairs whose sizes can't reach the bound are discarded; the overlap of
-the others is accumulated over all their columns and held against the bound.
+the pairs. Pairs whose sizes can't reach the bound are discarded, first by the sizes
+of the rows, then by their sizes in each of ``COLUMN_BLOCKS`` blocks of columns:
+an overlap is at most the sum of the smaller ones. The overlap of what remains is
+accumulated over all columns and held against the bound.
 
 All pairs of a column are never emitted. A first product takes each column
 against one of its rows (its pivot, which differs between columns), linear in
@@ -15,7 +17,7 @@ against the rows of other components, so no link between components is missed.
 
 Row order needs only be the same everywhere, so the counts may be rough: they
 come from a table of ``2 ** SKETCH_BITS`` buckets over all documents, summed by
-Spark, and broadcast as one byte a bucket (1 MB whatever the input).
+Spark, and broadcast as one byte a bucket (2 MB whatever the input).
 
 Defined cases: a document without words (null, empty, blank) has no shingles and
 is its own component; one of fewer than four words has one shingle, the whole;
@@ -34,15 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.llm import words as W
-from rasterlake.llm.shared import signed, staged, text_only
+from rasterlake.llm.shared import signed, small, staged, text_only
 
 NGRAM = 4
 PERCENT = 85
-SKETCH_BITS = 20
+SKETCH_BITS = 21
+#: Blocks of columns whose sizes bound an overlap.
+COLUMN_BLOCKS = 256
 SKETCH_PARTS = 64
 PIVOT_KINDS = 4
-#: Rows of a join side that may be broadcast; a row here is two or three longs.
-BROADCAST_ROWS = 1_000_000
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def _sketch(ngram: int, bits: int, parts: int):
         for _, data, offsets in W.batches(rows):
             grams, _ = _grams(data, offsets, ngram)
             counts += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.split(np.minimum(counts, 2**32 - 1).astype("<u4"), parts)])], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.split(np.minimum(counts, 2**16 - 1).astype("<u2"), parts)])], names=["part", "counts"])
 
     return run
 
@@ -77,7 +79,7 @@ def _add_sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in rows:
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            counts = np.frombuffer(raw, "<u4").astype(np.uint64)
+            counts = np.frombuffer(raw, "<u2").astype(np.uint64)
             total[part] = total[part] + counts if part in total else counts
     levels = {p: np.log2(c.astype(np.float64) + 1) * 4 for p, c in total.items()}
     yield pa.RecordBatch.from_arrays([pa.array(list(levels), pa.int32()), pa.array([v.astype(np.uint8).tobytes() for v in levels.values()], pa.binary())], names=["part", "levels"])
@@ -85,7 +87,7 @@ def _add_sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity_levels(docs: DataFrame, ngram: int = NGRAM, bits: int = SKETCH_BITS, parts: int = SKETCH_PARTS) -> np.ndarray:
     """Quarter powers of two of each bucket's count over all documents; one byte a bucket comes to the driver."""
-    made = docs.select("text").mapInArrow(_sketch(ngram, bits, parts), "part int, counts binary").repartition(parts, "part").mapInArrow(_add_sketches, "part int, levels binary")
+    made = docs.select("text").mapInArrow(_sketch(ngram, bits, parts), "part int, counts binary").repartition("part").mapInArrow(_add_sketches, "part int, levels binary")
     found = {r["part"]: np.frombuffer(r["levels"], np.uint8) for r in made.collect()}
     return np.concatenate([found[p] for p in range(parts)]) if found else np.zeros(1 << bits, np.uint8)
 
@@ -100,7 +102,7 @@ def _prefixes(levels: Broadcast, ngram: int, bits: int, percent: int):
         level, shift = levels.value, np.uint64(64 - bits)
         for batch, data, offsets in W.batches(rows):
             grams, bounds = _grams(data, offsets, ngram)
-            sizes, nodes, checks, prefixes = [], [], [], []
+            sizes, nodes, checks, profiles, prefixes = [], [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = np.unique(grams[a:b])
                 n = len(own)
@@ -109,10 +111,11 @@ def _prefixes(levels: Broadcast, ngram: int, bits: int, percent: int):
                 sizes.append(n)
                 nodes.append(node)
                 checks.append(check)
+                profiles.append(np.bincount((own & np.uint64(COLUMN_BLOCKS - 1)).astype(np.int64), minlength=COLUMN_BLOCKS))
                 prefixes.append(own[rare].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), signed(np.array(nodes, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "n", "node", "sum2", "prefix"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), signed(np.array(nodes, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(profiles, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n", "node", "sum2", "profile", "prefix"],
             )
 
     return run
@@ -128,20 +131,37 @@ def _sets(ngram: int):
     return run
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap over all columns reaches the bound."""
-    a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"{c}_grams")) for c in "ab")
+def _reaches(overlap, total, percent: int):
+    return 100 * overlap >= percent * (total - overlap)
+
+
+def _of_pairs(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) with both nodes' ``name`` as ``a_name`` and ``b_name``."""
+    for c in "ab":
+        pairs = pairs.join(values.select(F.col("node").alias(c), F.col(name).alias(f"{c}_{name}")), c)
+    return pairs
+
+
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of at least the similarity: bounded by column blocks, then counted over all columns."""
+
+    def wanted(p: DataFrame) -> DataFrame:
+        ends = p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+        return small(ends, 2 * p.count())
+
+    profiles = rows.join(wanted(pairs), "node").groupBy("node").agg(F.first("profile").alias("profile"))
+    bound = F.aggregate(F.zip_with("a_profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    size = lambda c: F.aggregate(f"{c}_profile", F.lit(0), lambda x, y: x + y)
+    possible = staged(_of_pairs(pairs, profiles, "profile").filter(_reaches(bound, size("a") + size("b"), percent)).select("a", "b"), "pairs")
+    of = small(nodes.join(wanted(possible), "node").select("node", "first.*"), 2 * possible.count())
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))
+    sets = staged(texts.alias("d").join(of.alias("s"), same).select("node", "text").mapInArrow(_sets(ngram), "node long, grams array<long>"), "sets").dropDuplicates(["node"])
     overlap = F.size(F.array_intersect("a_grams", "b_grams"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.size("a_grams") + F.size("b_grams")).alias("total"), overlap.alias("overlap"))
-    return both.filter(100 * F.col("overlap") >= percent * (F.col("total") - F.col("overlap"))).select("a", "b")
+    return staged(_of_pairs(possible, sets, "grams").filter(_reaches(overlap, F.size("a_grams") + F.size("b_grams"), percent)).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -164,7 +184,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     keyed = text_only(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     levels = spark.sparkContext.broadcast(rarity_levels(keyed, ngram))
-    rows = staged(keyed.mapInArrow(_prefixes(levels, ngram, SKETCH_BITS, percent), f"doc_id {id_type}, text_key long, n long, node long, sum2 long, prefix array<long>"), "rows")
+    rows = staged(keyed.mapInArrow(_prefixes(levels, ngram, SKETCH_BITS, percent), f"doc_id {id_type}, text_key long, n long, node long, sum2 long, profile array<int>, prefix array<long>"), "rows")
     named = rows.select("doc_id", "text_key", "n", "node", "sum2")
     # one row of the matrix for each distinct set
     nodes = named.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
@@ -177,11 +197,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
 
     first = block.filter(F.col("node") != F.col("pivot.node")).filter(_fits("n", "pivot.n", percent)).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
     first = staged(first.distinct(), "pairs")
-    shared = block.select("node").distinct().join(nodes, "node").select("node", "first.*")
-    shared = staged(shared, "shared-nodes")
-    wanted = _small(shared, shared.count())
-    sets = staged(keyed.alias("d").join(wanted.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))).select("node", "text").mapInArrow(_sets(ngram), "node long, grams array<long>"), "sets")
-    links = staged(_links(first, sets, percent), "links")
+    links = _links(first, rows, nodes, keyed, ngram, percent)
 
     found = components(links)
     placed = block.select("token", "node", "n").distinct().join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -192,10 +208,25 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent))
     second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
-    more = staged(_links(second, sets, percent), "links")
+    more = _links(second, rows, nodes, keyed, ngram, percent)
 
     found = components(links.unionByName(more)) if more.limit(1).count() else found
     of_set = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("doc_id"))
     least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = of_set.join(least, "component").select("node", "component_id")
     return named.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(answer, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, of the smallest id of each component; equal rows with words count once."""
+    found = staged(near_duplicates(docs, ngram, percent), "components")
+    extra = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    again = staged(again, "repeated")
+    n = found.filter("doc_id <> component_id").count()
+    kept = docs.join(small(extra, n), "doc_id", "left_anti")
+    if not again.limit(1).count():
+        return kept.select(docs.columns)
+    repeated = small(again, again.count())
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)

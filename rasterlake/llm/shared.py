@@ -32,6 +32,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few longs each that a join side may have to be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a broadcast join if its known number of rows is small, else for a shuffled one."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def text_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with nulls as empty texts; whatever else the table carries stays behind."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
