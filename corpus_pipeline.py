@@ -1,19 +1,52 @@
-"""Corpus preparation: quality rules, line dedup, near duplicates, decontamination, packing."""
+"""Corpus preparation in five stages, each on all that the one before kept.
+
+quality rules: rejected documents go. line dedup: lines common to many documents
+go, texts and their lengths follow. near duplicates: one document of each group
+stays. benchmark decontamination: contaminated documents go. best-fit packing:
+what is left becomes training sequences, one row per piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import lines, quality
+from rasterlake.llm import decontaminate, lines, near, packing, quality
 from rasterlake.llm.shared import staged, table
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = lines.drop_lines(docs, rest=rest)
+    kept = kept.select("doc_id", "text", *(F.col(f"rest.{c}").alias(c) for c in rest))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
 
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES = [("quality rules", quality_stage)]
+#: Tokenizers and zstandard have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
