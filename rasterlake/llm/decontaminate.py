@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm import words as W
-from rasterlake.llm.shared import signed, staged, text_only
+from rasterlake.llm.shared import signed, small, staged, text_only
 
 WINDOW = 13
 SHINGLE = 4
@@ -167,3 +167,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         .join(h.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("b.text_key") == F.col("h.text_key")), "left")
         .select("b.doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows, with all their columns, of documents that aren't contaminated."""
+    bad = staged(decontaminate(docs, benchmark, **options).filter("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(docs.columns)

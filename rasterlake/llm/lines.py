@@ -39,9 +39,10 @@ def line_key(line: bytes) -> bytes:
     return line.strip(BLANK).lower()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, rest: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    carried = [F.struct(*(F.col(c) for c in rest)).alias("rest")] if rest else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"), *carried)
 
 
 def _hash_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_i
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     row = f"h1 long, h2 long, doc_id {id_type}, text_key long, line int, n_lines int"
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = keyed.mapInArrow(_hash_lines, row).repartitionByRange(n, "h1", "h2", "doc_id", "text_key").sortWithinPartitions("h1", "h2", "doc_id", "text_key", "line")
+    ordered = keyed.select("doc_id", "text_key", "text").mapInArrow(_hash_lines, row).repartitionByRange(n, "h1", "h2", "doc_id", "text_key").sortWithinPartitions("h1", "h2", "doc_id", "text_key", "line")
     found = staged(ordered.mapInArrow(_stream_runs(min_docs), f"kind int, n_docs long, {row}"), "line-runs")
     cut = found.filter(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs)
     still = found.filter(F.col("kind") == OPEN).join(cut, ["h1", "h2"], "left_semi")
@@ -174,12 +175,15 @@ def _apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, part.schema.field("text").type)).drop_columns(["keep"])
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): every document's text without the lines that its bitmap drops."""
-    keyed = _keyed(docs, id_col, text_col)
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): every document's text without the lines that its bitmap drops.
+
+    ``rest`` names columns to carry along; they return in one struct, ``rest``.
+    """
+    keyed = _keyed(docs, id_col, text_col, rest)
     maps = keep_bitmaps(docs, min_docs, id_col, text_col).select("doc_id", "text_key", "n_dropped", "keep")
-    left, right = keyed.alias("d"), maps.alias("b")
-    joined = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.text_key") == F.col("b.text_key")), "left").select(
-        "d.doc_id", "d.text", (F.length("d.text") - F.length(F.replace("d.text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.coalesce("b.n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "b.keep"
-    )
-    return joined.mapInArrow(_apply, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
+    n_lines = F.length("d.text") - F.length(F.replace("d.text", F.lit("\n"), F.lit(""))) + 1
+    columns = ["d.doc_id", "d.text", n_lines.cast("long").alias("n_lines"), F.coalesce("b.n_dropped", F.lit(0)).cast("long").alias("n_dropped"), *(["d.rest"] if rest else []), "b.keep"]
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.text_key") == F.col("b.text_key"))
+    joined = keyed.alias("d").join(maps.alias("b"), same, "left").select(*columns)
+    return joined.mapInArrow(_apply, joined.drop("keep").schema)

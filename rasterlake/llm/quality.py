@@ -95,13 +95,18 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _verdicts(data: np.ndarray, offsets: np.ndarray, compress) -> tuple[dict[str, np.ndarray], np.ndarray, list[tuple]]:
+    """(counts, base failures, compression figures) of the rows of a chunk."""
+    counts = base_counts(data, offsets)
+    failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+    raw = data.tobytes()
+    return counts, failed, [compression(raw[offsets[i] : offsets[i + 1]], compress) for i in range(len(offsets) - 1)]
+
+
 def _score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
     for batch, data, offsets in W.batches(rows):
-        counts = base_counts(data, offsets)
-        failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
-        raw = data.tobytes()
-        verdicts = [compression(raw[offsets[i] : offsets[i + 1]], compress) for i in range(len(offsets) - 1)]
+        counts, failed, verdicts = _verdicts(data, offsets, compress)
         ratio, chunks, out, ok = zip(*verdicts, strict=True)
         columns = [pa.array(v.astype(np.int64)) for v in counts.values()]
         columns += [pa.array(failed), pa.array(~failed & np.array(ok)), pa.array(ratio, pa.float64()), pa.array(chunks, pa.int64()), pa.array(out, pa.int64())]
@@ -112,3 +117,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document with its counts, ratios and verdict. Narrow: no shuffle."""
     only = text_only(docs, id_col, text_col)
     return only.mapInArrow(_score, f"doc_id {only.schema['doc_id'].dataType.simpleString()}, {SCHEMA_TAIL}")
+
+
+def _filter(text_col: str):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch, data, offsets in W.batches(rows, text_col):
+            _, failed, verdicts = _verdicts(data, offsets, compress)
+            yield batch.filter(pa.array(~failed & np.array([v[-1] for v in verdicts], dtype=bool)))
+
+    return run
+
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose verdict is kept."""
+    return docs.mapInArrow(_filter(text_col), docs.schema)
