@@ -56,7 +56,7 @@ def compute_token(text: Column) -> dict[str, Column]:
     kind = F.regexp_extract(text, r"^compute:([a-z]+):[0-9]", 1)
     kind = F.when(kind.isin("sub", "diff"), "sub").when(kind.isin("add", "mean", "std"), kind)
     a, b = (F.nullif(F.regexp_extract(text, r"^compute:[a-z]+:([0-9]+)(?:,([0-9]+))?", k), F.lit("")).cast("int") for k in (1, 2))
-    valid = kind.isin("mean", "std") | b.isNotNull()
+    valid = kind.isNotNull() & (kind.isin("mean", "std") | b.isNotNull())
     return {"kind": F.when(valid, kind), "a": F.when(valid, a), "b": F.when(valid & kind.isin("add", "sub"), b)}
 
 
