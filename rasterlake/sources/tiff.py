@@ -3,9 +3,8 @@
 ``spark.read.format("tiff_frames").load(glob)`` plans one partition per file and
 page range from the page headers alone; tasks read only their own strips, merged
 into contiguous runs. With ``option("headers", "true")`` no strip is read. A
-``frame_idx = n`` filter is pushed into the page range. Paths are listed and read
-through the session's file system by Spark's own ``binaryFile`` reader in
-``frames_of_binary``, for stores that Python's ``open`` can't reach.
+``frame_idx = n`` filter is pushed into the page range. Stores that Python's
+``open`` can't reach are read by ``files.read_frames``.
 """
 
 from __future__ import annotations
@@ -16,8 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 FRAME_FIELDS = "media_id string, frame_idx int, w int, h int, channels int, dtype string, is_mask boolean, samples array<float>"
@@ -189,27 +187,6 @@ class TiffReader(DataSourceReader):
                 yield (partition.path, k, f["w"], f["h"], f["channels"], f["dtype"], f["is_mask"], f["samples"].tolist())
 
 
-def _decode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            rows = []
-            try:
-                tiff = Tiff(lambda at, n, content=content: content[at : at + n])
-                rows = [{"media_id": path, "frame_idx": k, "error": None, **tiff.decode(p)} for k, p in enumerate(tiff.headers())]
-            except ValueError as reason:
-                rows.append({"media_id": path, "frame_idx": None, "w": None, "h": None, "channels": None, "dtype": None, "is_mask": None, "samples": None, "error": str(reason)})
-            yield pa.RecordBatch.from_pylist(rows, _BINARY_SCHEMA)
-
-
-_BINARY_SCHEMA = pa.schema([("media_id", pa.string()), ("frame_idx", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("channels", pa.int32()), ("dtype", pa.string()), ("is_mask", pa.bool_()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
-
-
-def frames_of_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of every TIFF that Spark can list under ``path``; a file that fails is a row with its reason."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path", "content")
-    return files.mapInArrow(_decode_files, f"{FRAME_FIELDS}, error string")
-
-
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TiffFrames)

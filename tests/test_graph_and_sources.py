@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.plans.graph import Graph, Node, parse_node, reachable
-from rasterlake.sources import tiff
+from rasterlake.sources import files, png, tiff
 
 
 def still(spark, frames):
@@ -48,9 +48,48 @@ def test_tiff_headers_filter_and_errors(spark, tmp_path):
     assert [r.next_off for r in headers][:-1] == [r.off for r in headers][1:] and headers[-1].next_off == 0
     one = spark.read.format("tiff_frames").load(f"{tmp_path}/a.tif").filter(F.col("frame_idx") == 2).collect()
     assert [r.frame_idx for r in one] == [2] and one[0].samples[0] == 2000
-    loaded = tiff.frames_of_binary(spark, str(tmp_path)).collect()
+    (tmp_path / "c.jp2").write_bytes(b"codec")
+    loaded = files.read_frames(spark, str(tmp_path)).filter("media_id NOT LIKE '%jp2'").collect()
     assert len(loaded) == 4 and [r.error for r in loaded if r.error] == ["not a TIFF file"]
 
 
 def test_strips_merge_into_runs():
     assert tiff.merged((10, 20, 50, 60), (10, 10, 10, 5)) == [(10, 20), (50, 15)]
+
+
+@pytest.mark.parametrize("shape,dtype", [((6, 5), np.uint8), ((6, 5), np.uint16), ((4, 3, 3), np.uint8), ((4, 3, 4), np.uint16)])
+def test_png_round_trip(shape, dtype):
+    image = ((np.arange(np.prod(shape)) * 4099) % np.iinfo(dtype).max).reshape(shape).astype(dtype)
+    got = png.decode(png.encode(image))
+    assert got["samples"].tolist() == image.ravel().tolist() and (got["h"], got["w"]) == shape[:2] and got["dtype"] == np.dtype(dtype).name
+
+
+def test_png_filters():
+    rows, bpp = np.random.default_rng(1).integers(0, 256, (5, 12), dtype=np.uint8), 3
+    raw, above = bytearray(), np.zeros(12, int)
+    for kind, row in enumerate(rows.astype(int)):
+        left, corner = np.append([0] * bpp, row[:-bpp]), np.append([0] * bpp, above[:-bpp])
+        p = left + above - corner
+        near = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        guess = [np.zeros(12, int), left, above, (left + above) // 2, near][kind]
+        raw += bytes([kind, *((row - guess) % 256)])
+        above = row
+    assert png.unfiltered(bytes(raw), 5, 12, bpp).tolist() == rows.tolist()
+
+
+def test_files_become_one_timeline_and_back(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(tiff.encode(pages(2)))
+    (tmp_path / "b.PNG").write_bytes(png.encode(pages(1, np.uint8)[0]))
+    (tmp_path / "note.txt").write_text("no image")
+    got = files.read_sequence(spark, str(tmp_path)).orderBy("frame_idx").collect()
+    assert [(r.frame_idx, r.page, r.dtype) for r in got] == [(0, 0, "uint16"), (1, 1, "uint16"), (2, 0, "uint8")]
+    frames = files.read_frames(spark, str(tmp_path))
+    back = files.encoded(frames, "tif").collect()
+    assert sorted(tiff_samples(r.content) for r in back) == sorted(r.samples for r in got)
+    shown = {r.frame_idx: png.decode(r.content)["samples"].tolist() for r in files.encoded(frames.filter("media_id LIKE '%PNG'"), "png").collect()}
+    assert shown[0] == got[2].samples
+
+
+def tiff_samples(content):
+    file = tiff.Tiff(lambda at, n: content[at : at + n])
+    return file.decode(file.header(file.first))["samples"].tolist()
