@@ -148,7 +148,10 @@ def mixtures(word_log_p: np.ndarray, first: np.ndarray, steps: int = STEPS, pena
 
     docs = np.flatnonzero(n_words > 1) if n_langs > 1 else np.zeros(0, np.int64)
     if len(docs):
-        order = em(docs, np.ones((len(docs), n_langs)))[0]
+        order, fit = em(docs, np.ones((len(docs), n_langs)))
+        # a mixture of fewer languages fits no better, so no second one can be worth its penalty here
+        open_ = fit - likelihood[docs] > penalty * np.log(n_words[docs])
+        docs, order = docs[open_], order[open_]
         while len(docs):
             more = np.where(chosen[docs], -1.0, order)
             candidate = more.argmax(axis=1)

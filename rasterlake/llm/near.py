@@ -14,6 +14,10 @@ against one of its rows (its pivot, which differs between columns), linear in
 the block. Links found there join most of a group of near copies. A second one
 takes what is still apart in a column, the rows outside its largest component,
 against the rows of other components, so no link between components is missed.
+Where more than ``CROWD`` rows are outside, as among copies with many edits, rows
+are compared by how they differ from the column's pivot: two linked rows of which
+one isn't linked to the pivot must share a number of those differences, so they
+meet in the rarest of them, again a short prefix, and edits are rare.
 
 Row order needs only be the same everywhere, so the counts may be rough: they
 come from a table of ``2 ** SKETCH_BITS`` buckets over all documents, summed by
@@ -45,6 +49,8 @@ SKETCH_BITS = 21
 COLUMN_BLOCKS = 256
 SKETCH_PARTS = 64
 PIVOT_KINDS = 4
+#: Rows outside a column's largest component that are still compared directly.
+CROWD = 32
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,20 +152,59 @@ def _of_pairs(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sets_of(wanted: DataFrame, rows: int, nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
+    """(node, grams) of the wanted nodes, from the text of one document of each."""
+    of = small(nodes.join(wanted, "node").select("node", "first.*"), rows)
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))
+    return staged(texts.alias("d").join(of.alias("s"), same).select("node", "text").mapInArrow(_sets(ngram), "node long, grams array<long>"), "sets").dropDuplicates(["node"])
+
+
+def _crowded_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components that share enough differences from their pivot to be linked.
+
+    With P the pivot and p the percentage, a row b has k = ceil((p (|P| + |b|) - (100 + p) |P and b|) / 100),
+    positive if b isn't linked to P. If a row a is linked to b, they share at least k differences from P, so the
+    first |differences of b| - k + 1 of b's in any common order hold one of a's. Of a given pair, whose sizes and
+    missing shingles are known, the number to share is known too: it must fit behind the first shared difference.
+    """
+    sets = _sets_of(members.select(F.explode(F.array("pivot", "node")).alias("node")).distinct(), 2 * members.count(), nodes, texts, ngram)
+    mine, pivots = sets.select("node", "grams"), sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
+    # a pivot's rows meet its set in salted parts, so a large group is many tasks' work
+    both = members.join(mine, "node").join(pivots, "pivot")
+    differ = F.concat(F.array_except("pivot_grams", "grams"), F.array_except("grams", "pivot_grams"))
+    total = F.size("pivot_grams") + F.size("grams")
+    overlap = F.floor((total - F.size("differ")) / 2)
+    k = F.ceil((percent * total - (100 + percent) * overlap) / 100)
+    differing = staged(both.withColumn("differ", differ).select("pivot", "node", F.size("grams").alias("n"), (F.size("pivot_grams") - overlap).cast("int").alias("missing"), F.size("pivot_grams").alias("pivot_n"), k.cast("int").alias("k"), "differ"), "differences")
+    each = differing.select("pivot", "node", "n", "missing", "pivot_n", "k", F.size("differ").alias("size"), F.explode("differ").alias("token"))
+    counts = each.groupBy("pivot", "token").agg(F.count("*").alias("rows"), F.max("k").alias("furthest")).filter("rows > 1 AND furthest > 0").select("pivot", "token", "rows")
+    # tokens of one row alone meet nothing, but they fill the first places of its prefix
+    shared = each.join(counts, ["pivot", "token"])
+    rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("rows", "token"))
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("pivot", "node"))
+    placed = shared.withColumn("rank", rank + alone).filter("k <= 0 OR rank <= size - k + 1").withColumn("behind", F.col("size") - F.col("rank") + 1).join(found, "node", "left")
+    placed = staged(placed.select("pivot", "pivot_n", "token", "node", "n", "missing", "behind", "k", F.coalesce("component", "node").alias("component")), "differing")
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("n", "missing", "behind", "k", "component")]
+    outside = placed.filter("k > 0").select("pivot", "pivot_n", "token", F.col("node").alias("x"), *side("x"))
+    others = placed.select("pivot", "token", F.col("node").alias("y"), *side("y"))
+    to_share = percent * (F.col("x_n") + F.col("y_n")) - (100 + percent) * (F.col("pivot_n") - F.col("x_missing") - F.col("y_missing"))
+    fits = (100 + percent) * F.least("x_behind", "y_behind") >= to_share
+    meet = outside.join(others, ["pivot", "token"]).filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_k") <= 0) | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent) & fits)
+    return meet.select("x", "y")
+
+
 def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (a, b) of at least the similarity: bounded by column blocks, then counted over all columns."""
 
-    def wanted(p: DataFrame) -> DataFrame:
-        ends = p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-        return small(ends, 2 * p.count())
-
-    profiles = rows.join(wanted(pairs), "node").groupBy("node").agg(F.first("profile").alias("profile"))
+    profiles = rows.join(small(_ends(pairs), 2 * pairs.count()), "node").groupBy("node").agg(F.first("profile").alias("profile"))
     bound = F.aggregate(F.zip_with("a_profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     size = lambda c: F.aggregate(f"{c}_profile", F.lit(0), lambda x, y: x + y)
     possible = staged(_of_pairs(pairs, profiles, "profile").filter(_reaches(bound, size("a") + size("b"), percent)).select("a", "b"), "pairs")
-    of = small(nodes.join(wanted(possible), "node").select("node", "first.*"), 2 * possible.count())
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))
-    sets = staged(texts.alias("d").join(of.alias("s"), same).select("node", "text").mapInArrow(_sets(ngram), "node long, grams array<long>"), "sets").dropDuplicates(["node"])
+    sets = _sets_of(_ends(possible), 2 * possible.count(), nodes, texts, ngram)
     overlap = F.size(F.array_intersect("a_grams", "b_grams"))
     return staged(_of_pairs(possible, sets, "grams").filter(_reaches(overlap, F.size("a_grams") + F.size("b_grams"), percent)).select("a", "b"), "links")
 
@@ -200,12 +245,17 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     links = _links(first, rows, nodes, keyed, ngram, percent)
 
     found = components(links)
-    placed = block.select("token", "node", "n").distinct().join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("most")).filter("parts > 1").select("token", F.col("most.component").alias("main"))
+    placed = block.select("token", "node", "n", F.col("pivot.node").alias("pivot")).distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = placed.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("most"))
+    apart = parts.filter("parts > 1").select("token", F.col("most.component").alias("main"), (F.col("rows") - F.col("most.rows")).alias("outside"))
     mixed = staged(placed.join(apart, "token"), "apart")
-    outside = mixed.filter("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    others = mixed.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
-    second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent))
+    few = mixed.filter(F.col("outside") <= CROWD)
+    outside = few.filter("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
+    others = few.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
+    second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
+    crowded = staged(mixed.filter(F.col("outside") > CROWD).select("pivot", "node").distinct(), "crowded")
+    if crowded.limit(1).count():
+        second = second.unionByName(_crowded_pairs(crowded, found, nodes, keyed, ngram, percent))
     second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(second, "pairs")
     more = _links(second, rows, nodes, keyed, ngram, percent)

@@ -80,12 +80,12 @@ def shared_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     chunks = docs.mapInArrow(_chunks, f"doc_id {id_type}, text_key long, digest long, pos long, start long, size long")
     key = F.struct("doc_id")
     first = chunks.groupBy("digest", "size").agg(F.min(key).alias("first"), F.max(key).alias("last")).filter("NOT first <=> last").select("digest", "size", F.col("first.doc_id").alias("first_doc"))
-    held = chunks.join(first, ["digest", "size"])
-    own = Window.partitionBy("doc_id", "text_key").orderBy("pos")
-    runs = held.withColumn("run", F.col("pos") - F.row_number().over(own))
-    whole = Window.partitionBy("doc_id", "text_key", "run")
+    held = chunks.join(first, ["digest", "size"]).withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    own = ["doc_id", "text_key", "later"]
+    runs = held.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*own).orderBy("pos")))
+    whole = Window.partitionBy(*own, "run")
     long_runs = runs.withColumn("bytes", F.sum("size").over(whole)).filter(F.col("bytes") >= min_run)
-    return long_runs.select("doc_id", "text_key", "start", (F.col("start") + F.col("size")).alias("stop"), "first_doc", (~F.col("doc_id").eqNullSafe(F.col("first_doc"))).alias("later"))
+    return long_runs.select("doc_id", "text_key", "start", (F.col("start") + F.col("size")).alias("stop"), "first_doc", "later")
 
 
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
