@@ -15,8 +15,8 @@ the block. Links found there join most of a group of near copies. A second one
 takes what is still apart in a column, the rows outside its largest component,
 against the rows of other components, so no link between components is missed.
 Where more than ``CROWD`` rows are outside, as among copies with many edits, rows
-are compared by how they differ from the column's pivot: two linked rows of which
-one isn't linked to the pivot must share a number of those differences, so they
+are compared by how they differ from one row of that component: two linked rows,
+one of them not linked to it, must share a number of those differences, so they
 meet in the rarest of them, again a short prefix, and edits are rare.
 
 Row order needs only be the same everywhere, so the counts may be rough: they
@@ -168,7 +168,7 @@ def _crowded_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, texts
 
     With P the pivot and p the percentage, a row b has k = ceil((p (|P| + |b|) - (100 + p) |P and b|) / 100),
     positive if b isn't linked to P. If a row a is linked to b, they share at least k differences from P, so the
-    first |differences of b| - k + 1 of b's in any common order hold one of a's. Of a given pair, whose sizes and
+    first |differences of b| - k + 1 of b's in any common order hold one of a's. Rows linked to P are paired with it. Of a given pair, whose sizes and
     missing shingles are known, the number to share is known too: it must fit behind the first shared difference.
     """
     sets = _sets_of(members.select(F.explode(F.array("pivot", "node")).alias("node")).distinct(), 2 * members.count(), nodes, texts, ngram)
@@ -183,18 +183,24 @@ def _crowded_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, texts
     each = differing.select("pivot", "node", "n", "missing", "pivot_n", "k", F.size("differ").alias("size"), F.explode("differ").alias("token"))
     counts = each.groupBy("pivot", "token").agg(F.count("*").alias("rows"), F.max("k").alias("furthest")).filter("rows > 1 AND furthest > 0").select("pivot", "token", "rows")
     # tokens of one row alone meet nothing, but they fill the first places of its prefix
-    shared = each.join(counts, ["pivot", "token"])
-    rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("rows", "token"))
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("pivot", "node"))
-    placed = shared.withColumn("rank", rank + alone).filter("k <= 0 OR rank <= size - k + 1").withColumn("behind", F.col("size") - F.col("rank") + 1).join(found, "node", "left")
-    placed = staged(placed.select("pivot", "pivot_n", "token", "node", "n", "missing", "behind", "k", F.coalesce("component", "node").alias("component")), "differing")
-    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("n", "missing", "behind", "k", "component")]
+    own = ["pivot", "pivot_n", "node", "n", "missing", "k", "size"]
+    ordered = each.join(counts, ["pivot", "token"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    length = F.when(F.col("k") > 0, F.greatest(F.lit(0), F.size("shared") - F.col("k") + 1)).otherwise(F.size("shared"))
+    prefixed = ordered.withColumn("prefix", F.transform(F.slice("shared", F.lit(1), length), lambda t: t["token"])).withColumn("alone", alone).join(found, "node", "left")
+    placed = prefixed.select("pivot", "pivot_n", "node", "n", "missing", "k", "size", "alone", "prefix", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("rank", "token"))
+    placed = staged(placed.withColumn("behind", F.col("size") - F.col("alone") - F.col("rank")).drop("size", "alone", "rank"), "differing")
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("n", "missing", "behind", "k", "prefix", "component")]
     outside = placed.filter("k > 0").select("pivot", "pivot_n", "token", F.col("node").alias("x"), *side("x"))
     others = placed.select("pivot", "token", F.col("node").alias("y"), *side("y"))
     to_share = percent * (F.col("x_n") + F.col("y_n")) - (100 + percent) * (F.col("pivot_n") - F.col("x_missing") - F.col("y_missing"))
     fits = (100 + percent) * F.least("x_behind", "y_behind") >= to_share
-    meet = outside.join(others, ["pivot", "token"]).filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_k") <= 0) | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent) & fits)
-    return meet.select("x", "y")
+    # a pair meets in the first token that both prefixes hold, and nowhere else
+    once = F.element_at(F.array_intersect("x_prefix", "y_prefix"), 1) == F.col("token")
+    meet = outside.join(others, ["pivot", "token"]).filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_k") <= 0) | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent) & fits & once)
+    # what is linked to the pivot itself may not have met it before
+    direct = differing.filter("k <= 0 AND node <> pivot").join(found, "node", "left").filter(~F.col("component").eqNullSafe(F.col("pivot")))
+    return meet.select("x", "y").unionByName(direct.select(F.col("pivot").alias("x"), F.col("node").alias("y")))
 
 
 def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -253,7 +259,9 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     outside = few.filter("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
     others = few.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
     second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
-    crowded = staged(mixed.filter(F.col("outside") > CROWD).select("pivot", "node").distinct(), "crowded")
+    # any row can be the one that others are compared by; the name of the largest component is one of its rows,
+    # the same for all columns that hold it
+    crowded = staged(mixed.filter(F.col("outside") > CROWD).select(F.col("main").alias("pivot"), "node").distinct(), "crowded")
     if crowded.limit(1).count():
         second = second.unionByName(_crowded_pairs(crowded, found, nodes, keyed, ngram, percent))
     second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
