@@ -27,9 +27,17 @@ def quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
 
 
+def line_key(line):
+    return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+
+def line_counts(texts):
+    """Documents of each key."""
+    return Counter(k for t in texts for k in {line_key(x) for x in (t or "").split("\n")} if k)
+
+
 def lines(texts, least=10):
-    keys = [[x.strip(" \t\n\x0b\x0c\r").translate(LOWER) for x in (t or "").split("\n")] for t in texts]
-    docs = Counter(k for own in keys for k in set(own) if k)
+    keys, docs = [[line_key(x) for x in (t or "").split("\n")] for t in texts], line_counts(texts)
     out = []
     for text, own in zip(texts, keys, strict=True):
         kept = [x for x, k in zip((text or "").split("\n"), own, strict=True) if docs[k] < least or not k]
