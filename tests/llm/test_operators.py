@@ -186,6 +186,19 @@ def test_substring_dedup_survives_shifts(spark):
         assert sum(b - a for a, b in spans) > 100 or not spans
 
 
+def test_substring_dedup_finds_short_passages(spark):
+    short = lambda k: " ".join(w[:5] for w in prose(k, 51).split())
+    passages = [short(k) for k in range(1000, 1120)]
+    texts = [f"{prose(2000 + 2 * k + side, 25 + (k + 7 * side) % 31)} {p} {prose(4000 + 2 * k + side, 30)}" for side in (0, 1) for k, p in enumerate(passages)]
+    texts += [prose(7000, 30) + " spam" * 80 + " " + prose(7001, 30), prose(7002, 37) + " spam" * 80 + " " + prose(7003, 30)]
+    got = rows(substrings.dedup_substrings(table(spark, texts)))
+    assert sum(r.n_shared > 0 for r in got[:120]) >= 118 and sum(r.n_dropped > 0 for r in got[120:240]) >= 118
+    assert got[241].first_docs == [240]
+    for r, p in zip(got[120:240], passages, strict=True):
+        raw = texts[r.doc_id].encode()
+        assert all(raw[s.start + 8 : s.stop - 8].decode() in p for s in r.dropped or [])
+
+
 # --- 7 chat ------------------------------------------------------------------
 
 
