@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from rasterlake.llm import decontaminate, lines, near, packing, quality
 from rasterlake.llm.shared import staged, table
 
+#: Near copies of the pipeline share this part of their shingles of so many words; op8's own bounds differ.
+NEAR_NGRAM, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -27,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.one_of_each(docs)
+    return near.one_of_each(docs, ngram=NEAR_NGRAM, percent=NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,20 @@ def test_stages_equal_plain_versions(spark, sf_dir, tmp_path):
     place = {i: n for n, i in enumerate(ids)}
     renamed = [type(r)(**{**r.asDict(), "doc_id": place[r.doc_id]}) for r in packed]
     check_packing(renamed, [kept[i] for i in ids])
+
+
+def test_near_stage_takes_five_words_and_four_fifths(spark):
+    """Edits so far apart that a pair's similarity is on either side of the bounds of the stage and of op8."""
+    texts = []
+    for seed, edits in ((1, 3), (2, 4), (3, 5), (4, 6), (5, 7)):
+        base = prose(seed, 240).split()
+        texts += [" ".join(base), " ".join(f"edit{k}" if k % 30 == 10 and k // 30 < edits else w for k, w in enumerate(base))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def likeness(a, b):
+        a, b = brute.shingles(a, 5), brute.shingles(b, 5)
+        return len(a & b) / len(a | b)
+
+    want = {2 * k for k in range(5)} | {2 * k + 1 for k in range(5) if likeness(texts[2 * k], texts[2 * k + 1]) < 0.8}
+    assert 5 < len(want) < 10
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
