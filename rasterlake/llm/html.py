@@ -7,8 +7,9 @@ branch counts the presentations (sequences of child elements) and the contents
 over the largest that so many pages could have, is the branch's importance: what
 looks and reads alike on every page tells nothing. Branches that HTML itself
 names as menus, headers, footers, sidebars, notices, adverts, forms or comments
-have importance 0, and what an article or main element holds has 1. Branches of
-low importance are removed from each page; the blocks that stay, within the
+have importance 0, and an article or main element itself has 1; what it holds is
+measured like the rest, from a prior of 1 that weighs ``PRIOR_PAGES`` pages. Branches
+of low importance are removed from each page; the blocks that stay, within the
 article where a page has one, are joined in page order.
 
 Counts are summed by branch and digest before they are shuffled, so a host of a
@@ -17,7 +18,7 @@ sorted array of hashes if at most ``BROADCAST_BRANCHES``, and by a join beyond.
 
 Defined cases: a null or empty page has no text; a null or odd url is a host of
 its own name; a branch seen on fewer than ``MIN_PAGES`` pages has no evidence
-against it; a page that would lose all text to entropy alone keeps it; equal rows
+against it; a page or article that would lose all text to entropy alone keeps it; equal rows
 get equal texts; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from rasterlake.llm.shared import staged
 
 MIN_PAGES = 5
+PRIOR_PAGES = 2
 LOW_IMPORTANCE = 0.2
 CONTENT_WEIGHT = 0.7
 #: Deeper elements count as this deep; their text stays.
@@ -58,7 +60,7 @@ MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story)(?:[-_]?(?:body
 #: Start tags that end an open element of the same group.
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body article section div td th".split())
-NOISE, PLAIN, MAIN = 0, 1, 2
+NOISE, PLAIN, MAIN, ARTICLE = 0, 1, 2, 3  # MAIN is what an ARTICLE holds
 
 
 class Element:
@@ -103,15 +105,17 @@ class PageTree(HTMLParser):
 
     def _kind(self, tag: str, names: str, role: str) -> int:
         above = self.top.kind
-        if above == NOISE or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or (tag == "header" and above != MAIN):
+        if above == NOISE or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or (tag == "header" and above < MAIN):
             return NOISE
         if tag in ("html", "body"):
             return above
         if tag in MAIN_TAGS or role == "main":
-            return MAIN
+            return ARTICLE
         if names and BOILERPLATE_NAMES.search(names):
             return NOISE
-        return MAIN if names and MAIN_NAMES.search(names) else above
+        if above >= MAIN:
+            return MAIN
+        return ARTICLE if names and MAIN_NAMES.search(names) else above
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE and tag not in VOID:
@@ -204,7 +208,8 @@ def importance(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     by_aspect = by_digest.groupBy("branch", "aspect").agg(total.alias("pages"), F.max("kind").alias("kind"), F.when(total > 1, entropy / F.log2(total)).otherwise(1.0).alias("entropy"))
     weighted = F.sum(F.col("entropy") * F.when(F.col("aspect") == 0, CONTENT_WEIGHT).otherwise(1 - CONTENT_WEIGHT))
     merged = by_aspect.groupBy("branch").agg(F.max("pages").alias("pages"), F.max("kind").alias("kind"), weighted.alias("measured"))
-    fixed = F.when(F.col("kind") == NOISE, 0.0).when((F.col("kind") == MAIN) | (F.col("pages") < min_pages), 1.0).otherwise(F.col("measured"))
+    with_prior = (F.col("measured") * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    fixed = F.when(F.col("kind") == NOISE, 0.0).when((F.col("kind") == ARTICLE) | (F.col("pages") < min_pages), 1.0).when(F.col("kind") == MAIN, with_prior).otherwise(F.col("measured"))
     return merged.select("branch", "pages", fixed.alias("importance"))
 
 
@@ -221,9 +226,8 @@ def main_text(tree: PageTree, is_low) -> str:
         return False
 
     clean = [(e, t) for e, t in tree.blocks if e.kind != NOISE]
-    kept = [(e, t) for e, t in clean if not removed(e)] or clean
-    main = [t for e, t in kept if e.kind == MAIN]
-    return " ".join(main or [t for _, t in kept])
+    own = [(e, t) for e, t in clean if e.kind >= MAIN] or clean
+    return " ".join(t for _, t in [(e, t) for e, t in own if not removed(e)] or own)
 
 
 def _among(table: np.ndarray):

@@ -167,6 +167,16 @@ def test_html_extraction(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_html_measures_what_articles_hold(spark):
+    body = lambda k: f"<h1>Title {k}</h1><p>Own words {k}</p><div class=zz><p>Read us every week</p></div><p>End {k}"
+    data = [(k, "http://a.example/", f"<body><article>{body(k)}</article></body>") for k in range(20)] + [(100 + k, "http://b.example/", f"<body><main>{body(k)}</main></body>") for k in range(4)]
+    data += [(200 + k, "http://c.example/", f"<body><div>Link {k}</div><article><p>Equal on all pages</p></article></body>") for k in range(20)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k} Own words {k} End {k}" for k in range(20))
+    assert all(got[100 + k] == f"Title {k} Own words {k} Read us every week End {k}" for k in range(4))
+    assert all(got[200 + k] == "Equal on all pages" for k in range(20))
+
+
 # --- 6 substrings ------------------------------------------------------------
 
 
