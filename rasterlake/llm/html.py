@@ -7,7 +7,7 @@ branch counts the presentations (sequences of child elements) and the contents
 over the largest that so many pages could have, is the branch's importance: what
 looks and reads alike on every page tells nothing. Branches that HTML itself
 names as menus, headers, footers, sidebars, notices, adverts, forms or comments
-have importance 0, and an article or main element itself has 1; what it holds is
+have importance 0 (inside an article by tag, role or a whole class or id only), and an article or main element itself has 1; what it holds is
 measured like the rest, from a prior of 1 that weighs ``PRIOR_PAGES`` pages. Branches
 of low importance are removed from each page; the blocks that stay, within the
 article where a page has one, are joined in page order.
@@ -54,6 +54,11 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split(
 BOILERPLATE_NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|header|masthead|comments?|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|login|signup|search|widget|toolbar|pagination|skip)(?:$|[-_ 0-9])"
 )
+#: Inside an article a name must be boilerplate as a whole; headings and their anchors are the author's.
+WHOLE_NAMES = re.compile(
+    r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|comments?|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|login|signup|search|widget|toolbar|pagination|skip)[-_]?[0-9]*"
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story)(?:[-_]?(?:body|content|text))?(?:$|[ ])")
@@ -98,12 +103,12 @@ class PageTree(HTMLParser):
         signature = f"{tag}.{re.sub(r'[0-9]+', '', names)}"
         self.depth += 1
         branch = xxhash.xxh3_64_intdigest(signature, seed=self.top.branch) if self.depth <= MAX_DEPTH else self.top.branch
-        element = Element(tag, branch, self._kind(tag, names, (named.get("role") or "").lower()), self.top)
+        element = Element(tag, branch, self._kind(tag, names, (named.get("role") or "").lower(), (named.get("id") or "").lower()), self.top)
         self.top.children.append(xxhash.xxh3_64_intdigest(signature))
         self.elements.append(element)
         self.top = element
 
-    def _kind(self, tag: str, names: str, role: str) -> int:
+    def _kind(self, tag: str, names: str, role: str, anchor: str) -> int:
         above = self.top.kind
         if above == NOISE or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or (tag == "header" and above < MAIN):
             return NOISE
@@ -111,10 +116,12 @@ class PageTree(HTMLParser):
             return above
         if tag in MAIN_TAGS or role == "main":
             return ARTICLE
+        if above >= MAIN:
+            classes = names.removesuffix(anchor).split()
+            own = [] if tag in HEADINGS else classes if tag == "section" else [*classes, anchor]
+            return NOISE if any(WHOLE_NAMES.fullmatch(x) for x in own) else MAIN
         if names and BOILERPLATE_NAMES.search(names):
             return NOISE
-        if above >= MAIN:
-            return MAIN
         return ARTICLE if names and MAIN_NAMES.search(names) else above
 
     def handle_endtag(self, tag: str) -> None:

@@ -177,6 +177,12 @@ def test_html_measures_what_articles_hold(spark):
     assert all(got[200 + k] == "Equal on all pages" for k in range(20))
 
 
+@pytest.mark.parametrize("open_, kept", [("section id=related-work", True), ("h2 id=search", True), ("div class=entry-header", True), ("section id=social-history", True), ("div id=banner-design", True), ("section id=comments", True), ("div class='box ad'", False), ("div id=comments", False), ("section class=related", False), ("div class=ad-2", False)])
+def test_html_names_inside_articles(open_, kept):
+    tree = html.parse("h", f"<body><article><p>before</p><{open_}>inner</{open_.split()[0]}><p>after</p></article></body>")
+    assert html.main_text(tree, lambda branches: np.zeros(len(branches), bool)) == ("before inner after" if kept else "before after")
+
+
 # --- 6 substrings ------------------------------------------------------------
 
 
