@@ -9,9 +9,9 @@ is added as long as the gain exceeds ``PENALTY`` times the log of the word count
 The prediction is the language of largest proportion, its score the proportion.
 
 The classifier is fitted on a sample of about ``SAMPLE_DOCS`` documents of each
-language, chosen by a hash of the id; at most ``MAX_LANGUAGES`` (the most
-frequent) are learned. Counts are added up in Spark, 1 MB a language. Everything
-else reads whole texts of all documents, and no shuffle follows.
+language, chosen by a hash of the id; every label is learned. Counts are added up in
+Spark, one language at a time, and travel compressed; the model has 0.5 MB a language,
+and ``LANGUAGE_BLOCK`` languages at once are looked up in it. Everything else reads whole texts of all documents, and no shuffle follows.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is every text if nothing could be learned; a null language teaches nothing;
@@ -22,6 +22,7 @@ read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,9 @@ ORDERS = (3, 5)
 BUCKET_BITS = 16
 SMOOTHING = 0.5
 SAMPLE_DOCS = 2000
-MAX_LANGUAGES = 256
+LANGUAGE_BLOCK = 64
+#: Languages whose counts a task holds before it hands them on.
+FLUSH_LANGUAGES = 64
 HOLD_OUT = 5
 PENALTY = 2.0
 STEPS = 12
@@ -75,6 +78,14 @@ def _buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[li
     return found, np.concatenate([[0], np.cumsum(ends - starts)[:-1]]) if len(starts) else np.zeros(0, np.int64)
 
 
+def _counted(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([zlib.compress(c.tobytes(), 1) for c in counts.values()], pa.binary())], names=["lang", "counts"])
+
+
+def _read(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.int64).reshape(len(ORDERS), -1)
+
+
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch, data, offsets in W.batches(rows):
@@ -83,35 +94,44 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_owner = np.repeat(owner, ends - starts)
         langs = batch.column("lang").to_pylist()
         for lang in set(langs):
+            if lang not in counts and len(counts) >= FLUSH_LANGUAGES:
+                yield _counted(counts)
+                counts.clear()
             mine = np.isin(byte_owner, [i for i, x in enumerate(langs) if x == lang])
             own = counts.setdefault(lang, np.zeros((len(ORDERS), 1 << BUCKET_BITS), dtype=np.int64))
             for k, b in enumerate(buckets):
                 own[k] += np.bincount(b[mine], minlength=1 << BUCKET_BITS)
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
+    yield _counted(counts)
 
 
 def _add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows that are sorted by language."""
     total: dict[str, np.ndarray] = {}
     for batch in rows:
         for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            counts = np.frombuffer(raw, np.int64)
+            if total and lang not in total:
+                yield _counted(total)
+                total.clear()
+            counts = _read(raw)
             total[lang] = total[lang] + counts if lang in total else counts
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["lang", "counts"])
+    yield _counted(total)
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of (doc_id, text, lang) rows; the sample's bound is ``sample_docs`` a language, on average."""
     usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((len(ORDERS), 1 << BUCKET_BITS, 0), np.float32))
     share = usable.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", F.lower("text").alias("text"))
-    counted = sample.mapInArrow(_count, "lang string, counts binary").repartition("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").collect()
-    counts = np.stack([np.frombuffer(r["counts"], np.int64).reshape(len(ORDERS), -1) for r in counted], axis=2)
-    p = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
-    return Model([r["lang"] for r in counted], np.log(p).astype(np.float32))
+    counted = sample.mapInArrow(_count, "lang string, counts binary").repartition("lang").sortWithinPartitions("lang").mapInArrow(_add, "lang string, counts binary").orderBy("lang").collect()
+    log_p = np.empty((len(ORDERS), 1 << BUCKET_BITS, len(counted)), np.float32)
+    for j, r in enumerate(counted):
+        counts = _read(r["counts"])
+        log_p[:, :, j] = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1]))
+    return Model([r["lang"] for r in counted], log_p)
 
 
 def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -172,14 +192,18 @@ def _predict(shared: Broadcast):
         model: Model = shared.value
         n_langs = len(model.languages)
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-        for batch, data, offsets in W.batches(rows, limit=max(1 << 16, (W.CHUNK_BYTES * 2) // max(4, n_langs))):
+        for batch, data, offsets in W.batches(rows, limit=max(1 << 12, (W.CHUNK_BYTES * 2) // max(4, n_langs))):
             n = batch.num_rows
             starts, ends, owner = W.spans(data, offsets, _WORD)
             share = np.zeros((n, n_langs))
             if n_langs and len(starts):
                 buckets, first_byte = _buckets(data, starts, ends)
-                log_p = sum(model.log_p[k][b] for k, b in enumerate(buckets)) / len(ORDERS)
-                share = mixtures(np.add.reduceat(log_p, first_byte, axis=0).astype(np.float64), W.row_starts(owner, n))
+                word_log_p = np.empty((len(starts), n_langs))
+                for j in range(0, n_langs, LANGUAGE_BLOCK):
+                    block = slice(j, j + LANGUAGE_BLOCK)
+                    log_p = sum(model.log_p[k][:, block][b] for k, b in enumerate(buckets)) / len(ORDERS)
+                    word_log_p[:, block] = np.add.reduceat(log_p, first_byte, axis=0)
+                share = mixtures(word_log_p, W.row_starts(owner, n))
             known = np.array(batch.column("has_letter").to_pylist(), dtype=bool) & (np.bincount(owner, minlength=n) > 0) & (n_langs > 0)
             top = share.argmax(axis=1) if n_langs else np.zeros(n, np.int64)
             parts = [sorted(({"lang": model.languages[j], "share": float(s[j])} for j in np.flatnonzero(s)), key=lambda x: -x["share"]) if k else [] for s, k in zip(share, known, strict=True)]

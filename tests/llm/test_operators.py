@@ -146,6 +146,15 @@ def test_language_held_out_accuracy_and_mixtures(spark):
     assert {r.doc_id: r.lang_pred for r in flipped} == {i: r.lang_pred for i, r in got.items()}
 
 
+def test_language_learns_every_label(spark):
+    rng = random.Random(8)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)] for k in range(300)}
+    data = [(3 * k + c, " ".join(own), lang) for k, (lang, own) in enumerate(words.items()) for c in range(3)]
+    learned = {lang for i, _, lang in data if zlib.crc32(str(i).encode()) % 5}
+    got = language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    assert len(learned) > 256 and all(r.lang_pred == data[r.doc_id][2] for r in got if data[r.doc_id][2] in learned)
+
+
 # --- 5 html ------------------------------------------------------------------
 
 
