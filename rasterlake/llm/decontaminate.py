@@ -16,7 +16,8 @@ their documents: no pair of documents is ever formed.
 Defined cases: a null, empty or word-free document has no words and isn't hit;
 a word-free item has no window; items with equal windows are all reported; rows
 with equal id and text get the same answer; an empty documents or benchmark
-table gives an empty result or no hits; other columns are not read.
+table gives an empty result or no hits; other columns are not read. A very long text is split in
+blocks of whole words, and each occurrence carries only the words around it.
 """
 
 from __future__ import annotations
@@ -155,6 +156,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: its words, the words that windows cover, and the items found in it."""
+    return _measured(docs, benchmark, **options).drop("text_key")
+
+
+def _measured(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     base, hits, items = find_windows(docs, benchmark, **options)
     hits = staged(hits.distinct(), "hits")
     key = ["doc_id", "text_key"]
@@ -165,11 +170,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return (
         base.alias("b")
         .join(h.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("b.text_key") == F.col("h.text_key")), "left")
-        .select("b.doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+        .select("b.doc_id", "b.text_key", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, of documents that aren't contaminated."""
-    bad = staged(decontaminate(docs, benchmark, **options).filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), "doc_id", "left_anti").select(docs.columns)
+    """The rows, with all their columns, of documents that aren't contaminated; other texts of an id stay."""
+    bad = staged(_measured(docs, benchmark, **options).filter("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("d.text_key") == F.col("b.text_key"))
+    return keyed.alias("d").join(small(bad, bad.count()).alias("b"), same, "left_anti").select("row.*")

@@ -6,26 +6,40 @@ with the same set are one row. The columns are ordered by a corpus-wide count
 columns, that two linked rows can't both miss. The product over that block finds
 the pairs. Pairs whose sizes can't reach the bound are discarded, first by the sizes
 of the rows, then by their sizes in each of ``COLUMN_BLOCKS`` blocks of columns:
-an overlap is at most the sum of the smaller ones. The overlap of what remains is
-accumulated over all columns and held against the bound.
+an overlap is at most the sum of the smaller ones. What remains is multiplied in
+``PRODUCT_BLOCKS`` blocks of columns, so no row is ever whole in one place, and the
+overlaps of the blocks are added up and held against the bound.
 
 All pairs of a column are never emitted. A first product takes each column
 against one of its rows (its pivot, which differs between columns), linear in
 the block. Links found there join most of a group of near copies. A second one
 takes what is still apart in a column, the rows outside its largest component,
 against the rows of other components, so no link between components is missed.
+
 Where more than ``CROWD`` rows are outside, as among copies with many edits, rows
-are compared by how they differ from one row of that component: two linked rows,
-one of them not linked to it, must share a number of those differences, so they
-meet in the rarest of them, again a short prefix, and edits are rare.
+are told apart by their differences from one row of that component (P). With
+D(x) = x without P and P without x, and d its size, x and y are linked only if
+D(x) and D(y) differ in at most H = (100 - p)(|x| + |y|) / (100 + p) columns, so
+they share at least (d(x) + d(y) - H) / 2 differences, one at least if both aren't
+linked to P. That is the same join again, on differences: a short prefix of the one
+with fewer of them meets a longer prefix of the other. A difference whose rows are of
+one component already links nothing and only fills places of the prefix. A list of
+rows with a common difference that is still crowded is told apart in the same way by
+one of its own rows, after what is linked to that row is joined, and so on until
+comparing what is left costs a bounded number of steps a row: each round's lists are
+parts of the ones before, without one row at least.
 
 Row order needs only be the same everywhere, so the counts may be rough: they
 come from a table of ``2 ** SKETCH_BITS`` buckets over all documents, summed by
-Spark, and broadcast as one byte a bucket (2 MB whatever the input).
+Spark, and broadcast as one byte a bucket (2 MB whatever the input). A column whose
+bucket holds ``HOT`` times the mean or more takes no window over its rows: its pivot
+is a partial aggregate, joined back.
 
 Defined cases: a document without words (null, empty, blank) has no shingles and
 is its own component; one of fewer than four words has one shingle, the whole;
-equal rows are linked if they have words; an empty table gives an empty result;
+equal rows are linked if they have words; a very long text is read in blocks of
+whole words and has as many shingles as it has; a null id takes part, and is the
+component's id only where it has no other; an empty table gives an empty result;
 other columns are not read. Sets are told apart by 64-bit sums of hashes.
 """
 
@@ -45,12 +59,20 @@ from rasterlake.llm.shared import signed, small, staged, text_only
 NGRAM = 4
 PERCENT = 85
 SKETCH_BITS = 21
-#: Blocks of columns whose sizes bound an overlap.
-COLUMN_BLOCKS = 256
+#: Blocks of columns whose sizes bound an overlap, and coarser ones in which overlaps are counted.
+COLUMN_BLOCKS, PRODUCT_BLOCKS = 256, 8
 SKETCH_PARTS = 64
 PIVOT_KINDS = 4
+#: A bucket of so many times the mean and so many rows is that of a hot column.
+HOT, HOT_ROWS = 16, 1000
 #: Rows outside a column's largest component that are still compared directly.
-CROWD = 32
+CROWD = 8
+#: Comparisons, in all or for each row, that lists of differences may cost before they are told apart further.
+COMPARED, COMPARED_PER_ROW = 200_000, 16
+#: So few links are joined in one task; more take the distributed rounds.
+LOCAL_LINKS = 10_000
+#: A pivot's columns meet its rows in so many parts.
+SALTS = 16
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,41 +120,52 @@ def rarity_levels(docs: DataFrame, ngram: int = NGRAM, bits: int = SKETCH_BITS,
     return np.concatenate([found[p] for p in range(parts)]) if found else np.zeros(1 << bits, np.uint8)
 
 
-def _identity(grams: np.ndarray) -> tuple[int, int]:
-    mixed = W.mix(grams)
-    return int(mixed.sum()), int((mixed ^ (mixed >> np.uint64(17)) * W._STEP[50]).sum())
+def _identity(grams: np.ndarray) -> int:
+    return int(W.mix(grams).sum())
 
 
 def _prefixes(levels: Broadcast, ngram: int, bits: int, percent: int):
+    """Each row's size, name, sizes by block, and its first columns, the hot ones apart."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, shift = levels.value, np.uint64(64 - bits)
+        hot = max(4 * np.log2(1 + HOT * np.mean(2.0 ** (level / 4) - 1)), 4 * np.log2(1 + HOT_ROWS))
         for batch, data, offsets in W.batches(rows):
             grams, bounds = _grams(data, offsets, ngram)
-            sizes, nodes, checks, profiles, prefixes = [], [], [], [], []
+            sizes, nodes, profiles, prefixes, crowded = [], [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = np.unique(grams[a:b])
                 n = len(own)
-                node, check = _identity(own)
-                rare = np.argsort(level[(own >> shift).astype(np.int64)], kind="stable")[: n - -(-percent * n // 100) + 1 if n else 0]
+                of = level[(own >> shift).astype(np.int64)]
+                rare = np.argsort(of, kind="stable")[: n - -(-percent * n // 100) + 1 if n else 0]
                 sizes.append(n)
-                nodes.append(node)
-                checks.append(check)
+                nodes.append(_identity(own))
                 profiles.append(np.bincount((own & np.uint64(COLUMN_BLOCKS - 1)).astype(np.int64), minlength=COLUMN_BLOCKS))
-                prefixes.append(own[rare].view(np.int64))
+                prefixes.append(own[rare[of[rare] < hot]].view(np.int64))
+                crowded.append(own[rare[of[rare] >= hot]].view(np.int64))
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), signed(np.array(nodes, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(profiles, pa.list_(pa.int32())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "n", "node", "sum2", "profile", "prefix"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), signed(np.array(nodes, np.uint64)), pa.array(profiles, pa.list_(pa.int32())), pa.array(prefixes, longs), pa.array(crowded, longs)],
+                names=["doc_id", "text_key", "n", "node", "profile", "prefix", "hot"],
             )
 
     return run
 
 
-def _sets(ngram: int):
+def _blocks(ngram: int):
+    """The columns of each row in every block of columns, empty blocks too."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in W.batches(rows):
             grams, bounds = _grams(data, offsets, ngram)
-            own = [np.unique(grams[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "grams"])
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own = np.unique(grams[a:b])
+                block = own & np.uint64(PRODUCT_BLOCKS - 1)
+                out += [own[block == k].view(np.int64) for k in range(PRODUCT_BLOCKS)]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), PRODUCT_BLOCKS))
+            block = pa.array(np.tile(np.arange(PRODUCT_BLOCKS, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), block, pa.array(out, pa.list_(pa.int64()))], names=["node", "block", "grams"])
 
     return run
 
@@ -145,6 +178,11 @@ def _reaches(overlap, total, percent: int):
     return 100 * overlap >= percent * (total - overlap)
 
 
+def _may_differ(total, percent: int):
+    """Columns in which two linked rows of that total size differ at most."""
+    return F.floor((100 - percent) * total / (100 + percent))
+
+
 def _of_pairs(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) with both nodes' ``name`` as ``a_name`` and ``b_name``."""
     for c in "ab":
@@ -156,67 +194,153 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _sets_of(wanted: DataFrame, rows: int, nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
-    """(node, grams) of the wanted nodes, from the text of one document of each."""
+    """(node, block, grams) of the wanted nodes, from the text of one document of each."""
     of = small(nodes.join(wanted, "node").select("node", "first.*"), rows)
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))
-    return staged(texts.alias("d").join(of.alias("s"), same).select("node", "text").mapInArrow(_sets(ngram), "node long, grams array<long>"), "sets").dropDuplicates(["node"])
+    one = texts.alias("d").join(of.alias("s"), same).select("node", "text")
+    return staged(one.mapInArrow(_blocks(ngram), "node long, block int, grams array<long>"), "sets").dropDuplicates(["node", "block"])
 
 
-def _crowded_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of different components that share enough differences from their pivot to be linked.
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of at least the similarity: bounded by column blocks, then counted block by block."""
+    profiles = rows.join(small(_ends(pairs), 2 * pairs.count()), "node").groupBy("node").agg(F.first("profile").alias("profile"))
+    bound = F.aggregate(F.zip_with("a_profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    total = F.aggregate("a_profile", F.lit(0), lambda x, y: x + y) + F.aggregate("b_profile", F.lit(0), lambda x, y: x + y)
+    bounded = _of_pairs(pairs, profiles, "profile").select("a", "b", bound.alias("bound"), total.alias("total"))
+    possible = staged(bounded.filter(_reaches(F.col("bound"), F.col("total"), percent)).select("a", "b", "total"), "pairs")
+    sets = _sets_of(_ends(possible), 2 * possible.count(), nodes, texts, ngram)
+    left, right = (sets.select(F.col("node").alias(c), "block", F.col("grams").alias(f"{c}_grams")) for c in "ab")
+    product = possible.join(left, "a").join(right, ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+    counted = product.groupBy("a", "b", "total").agg(F.sum("overlap").alias("overlap"))
+    return staged(counted.filter(_reaches(F.col("overlap"), F.col("total"), percent)).select("a", "b"), "links")
+
+
+def _differences(members: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
+    """(list, pivot_n, node, n, differ) of members (list, node): the columns in which a node differs from the list's own row."""
+    wanted = members.select(F.explode(F.array("list", "node")).alias("node")).distinct()
+    sets = _sets_of(wanted, 2 * members.count(), nodes, texts, ngram)
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    mine = members.join(sets, "node").withColumn("salt", salt)
+    of_lists = members.select("list").distinct().join(sets.withColumnRenamed("node", "list"), "list")
+    pivots = of_lists.select("list", "block", F.col("grams").alias("own"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
+    both = mine.join(pivots, ["list", "block", "salt"])
+    part = F.concat(F.array_except("own", "grams"), F.array_except("grams", "own"))
+    whole = both.groupBy("list", "node").agg(F.sum(F.size("own")).alias("pivot_n"), F.sum(F.size("grams")).alias("n"), F.flatten(F.collect_list(part)).alias("differ"))
+    return staged(whole.select("list", "pivot_n", "node", "n", "differ"), "differences")
+
+
+def _to_pivot(differing: DataFrame, pivot: str, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of lists' rows to their pivots that aren't of its component yet."""
+    near = differing.filter((F.col("node") != F.col(pivot)) & (F.size("differ") <= _may_differ(F.col("n") + F.col("pivot_n"), percent))).select(F.col(pivot).alias("x"), F.col("node").alias("y"))
+    return _across(_ordered(near), found)
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    for c in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c, "left")
+    return pairs.filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
+
+
+def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs to be counted, crowded lists as (list, node, part, pivot) if any) of rows in different components.
 
-    With P the pivot and p the percentage, a row b has k = ceil((p (|P| + |b|) - (100 + p) |P and b|) / 100),
-    positive if b isn't linked to P. If a row a is linked to b, they share at least k differences from P, so the
-    first |differences of b| - k + 1 of b's in any common order hold one of a's. Rows linked to P are paired with it. Of a given pair, whose sizes and
-    missing shingles are known, the number to share is known too: it must fit behind the first shared difference.
+    The prefix of a row that meets one with as many differences or more is ``index`` long, the
+    other one's is ``probe`` long; both leave out what no row of another component has.
     """
-    sets = _sets_of(members.select(F.explode(F.array("pivot", "node")).alias("node")).distinct(), 2 * members.count(), nodes, texts, ngram)
-    mine, pivots = sets.select("node", "grams"), sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    # a pivot's rows meet its set in salted parts, so a large group is many tasks' work
-    both = members.join(mine, "node").join(pivots, "pivot")
-    differ = F.concat(F.array_except("pivot_grams", "grams"), F.array_except("grams", "pivot_grams"))
-    total = F.size("pivot_grams") + F.size("grams")
-    overlap = F.floor((total - F.size("differ")) / 2)
-    k = F.ceil((percent * total - (100 + percent) * overlap) / 100)
-    differing = staged(both.withColumn("differ", differ).select("pivot", "node", F.size("grams").alias("n"), (F.size("pivot_grams") - overlap).cast("int").alias("missing"), F.size("pivot_grams").alias("pivot_n"), k.cast("int").alias("k"), "differ"), "differences")
-    each = differing.select("pivot", "node", "n", "missing", "pivot_n", "k", F.size("differ").alias("size"), F.explode("differ").alias("token"))
-    counts = each.groupBy("pivot", "token").agg(F.count("*").alias("rows"), F.max("k").alias("furthest")).filter("rows > 1 AND furthest > 0").select("pivot", "token", "rows")
-    # tokens of one row alone meet nothing, but they fill the first places of its prefix
-    own = ["pivot", "pivot_n", "node", "n", "missing", "k", "size"]
-    ordered = each.join(counts, ["pivot", "token"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("shared"))
-    alone = F.col("size") - F.size("shared")
-    length = F.when(F.col("k") > 0, F.greatest(F.lit(0), F.size("shared") - F.col("k") + 1)).otherwise(F.size("shared"))
-    prefixed = ordered.withColumn("prefix", F.transform(F.slice("shared", F.lit(1), length), lambda t: t["token"])).withColumn("alone", alone).join(found, "node", "left")
-    placed = prefixed.select("pivot", "pivot_n", "node", "n", "missing", "k", "size", "alone", "prefix", F.coalesce("component", "node").alias("component"), F.posexplode("prefix").alias("rank", "token"))
-    placed = staged(placed.withColumn("behind", F.col("size") - F.col("alone") - F.col("rank")).drop("size", "alone", "rank"), "differing")
-    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("n", "missing", "behind", "k", "prefix", "component")]
-    outside = placed.filter("k > 0").select("pivot", "pivot_n", "token", F.col("node").alias("x"), *side("x"))
-    others = placed.select("pivot", "token", F.col("node").alias("y"), *side("y"))
-    to_share = percent * (F.col("x_n") + F.col("y_n")) - (100 + percent) * (F.col("pivot_n") - F.col("x_missing") - F.col("y_missing"))
-    fits = (100 + percent) * F.least("x_behind", "y_behind") >= to_share
-    # a pair meets in the first token that both prefixes hold, and nowhere else
-    once = F.element_at(F.array_intersect("x_prefix", "y_prefix"), 1) == F.col("token")
-    meet = outside.join(others, ["pivot", "token"]).filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_k") <= 0) | (F.col("x") < F.col("y"))) & _fits("x_n", "y_n", percent) & fits & once)
-    # what is linked to the pivot itself may not have met it before
-    direct = differing.filter("k <= 0 AND node <> pivot").join(found, "node", "left").filter(~F.col("component").eqNullSafe(F.col("pivot")))
-    return meet.select("x", "y").unionByName(direct.select(F.col("pivot").alias("x"), F.col("node").alias("y")))
+    of = differing.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    each = of.select("list", "node", "n", F.size("differ").alias("d"), "component", F.explode("differ").alias("token"))
+    open_ = each.groupBy("list", "token").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "token", "rows")
+    shared = each.join(open_, ["list", "token"]).groupBy("list", "node", "n", "d", "component").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("shared"))
+    alone = F.col("d") - F.size("shared")
+    room = F.floor((100 - percent) * F.col("n") / percent)
+    length = lambda most: F.greatest(F.lit(0), F.least(F.size("shared"), (most + 1 - alone).cast("int")))
+    places = shared.withColumns({"index": length(F.floor(room / 2)), "probe": length(room), "left": F.size("shared")}).filter("probe > 0")
+    placed = places.select("list", "node", "n", "d", "component", "index", "left", F.posexplode(F.slice("shared", F.lit(1), F.col("probe"))).alias("rank", "of"))
+    placed = placed.select("list", "node", "n", "d", "component", F.col("of.token").alias("token"), (F.col("rank") < F.col("index")).alias("first"), (F.col("left") - F.col("rank")).alias("behind"))
+    placed = staged(placed, "placed")
+
+    draw = F.struct("d", F.xxhash64("node", "token").alias("draw"), "node", "n")
+    lists = placed.groupBy("list", "token").agg(F.count("*").alias("rows"), F.count(F.when(F.col("first"), 1)).alias("firsts"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(draw).alias("pivot"))
+    lists = staged(lists.filter("firsts > 0 AND low <> high").select("list", "token", "rows", "firsts", "pivot"), "lists")
+    cost = lists.agg(F.coalesce(F.sum(F.col("firsts") * F.col("rows")), F.lit(0)).alias("all"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    last = cost["all"] <= max(COMPARED, COMPARED_PER_ROW * cost["rows"])
+    few = lists if last else lists.filter(F.col("firsts") <= CROWD)
+    side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("n", "d", "behind", "component")]
+    ours = placed.join(few.select("list", "token"), ["list", "token"])
+    xs = ours.filter("first").select("list", "token", F.col("node").alias("x"), *side("x"))
+    ys = ours.select("list", "token", F.col("node").alias("y"), *side("y"))
+    to_share = F.col("x_d") + F.col("y_d") - _may_differ(F.col("x_n") + F.col("y_n"), percent)
+    # what is behind the first difference that two rows share bounds how many they share
+    fits = (2 * F.least("x_behind", "y_behind") >= to_share) & _fits("x_n", "y_n", percent)
+    fewer = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x") < F.col("y")))
+    pairs = xs.join(ys, ["list", "token"]).filter(fewer & (F.col("x_component") != F.col("y_component")) & fits).select("x", "y")
+    crowded = placed.join(lists.filter(F.col("firsts") > CROWD), ["list", "token"]).select("list", "node", F.xxhash64("list", "token").alias("part"), "pivot")
+    return _ordered(pairs), None if last else crowded
+
+
+def _by_own_row(crowded: DataFrame, differing: DataFrame) -> DataFrame:
+    """Differences of the rows of each part of a list from one of that part."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    mine = crowded.join(differing.select("list", "node", "n", "differ"), ["list", "node"]).withColumn("salt", salt)
+    chosen = crowded.select("list", "part", F.col("pivot.node").alias("node"), F.col("pivot.n").alias("pivot_n")).distinct().join(differing.select("list", "node", F.col("differ").alias("own")), ["list", "node"])
+    chosen = chosen.select("part", "pivot_n", F.col("node").alias("by"), "own", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
+    both = mine.select("part", "salt", "node", "n", "differ").join(chosen, ["part", "salt"]).filter("node <> by")
+    return staged(both.select(F.col("part").alias("list"), "by", "pivot_n", "node", "n", F.concat(F.array_except("differ", "own"), F.array_except("own", "differ")).alias("differ")), "differences")
+
+
+def _crowded_links(members: DataFrame, found: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(node, component) after the links between different components within crowded lists (list, node)."""
+    differing = _differences(members, nodes, texts, ngram).withColumn("by", F.col("list"))
+    while True:
+        found = _joined(found, staged(_to_pivot(differing, "by", found, percent), "links"))
+        pairs, crowded = _told_apart(differing, found, percent)
+        found = _joined(found, _links(staged(pairs, "pairs"), rows, nodes, texts, ngram, percent))
+        if crowded is None:
+            return found
+        differing = _by_own_row(staged(crowded, "crowded"), differing)
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once more links are known: components are joined, not rows."""
+    n = links.count()
+    if not n:
+        return found
+    every = found.unionByName(_ends(links).join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+    of = staged(every, "labels")
+    pairs = links
+    for c in "ab":
+        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c)
+    between = pairs.filter("a_of <> b_of").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).distinct()
+    up = components(between, n).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return staged(of.join(small(up, 2 * n), "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of at least the similarity: bounded by column blocks, then counted over all columns."""
+def _in_one_task(links: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of few links."""
+    parent: dict[int, int] = {}
 
-    profiles = rows.join(small(_ends(pairs), 2 * pairs.count()), "node").groupBy("node").agg(F.first("profile").alias("profile"))
-    bound = F.aggregate(F.zip_with("a_profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    size = lambda c: F.aggregate(f"{c}_profile", F.lit(0), lambda x, y: x + y)
-    possible = staged(_of_pairs(pairs, profiles, "profile").filter(_reaches(bound, size("a") + size("b"), percent)).select("a", "b"), "pairs")
-    sets = _sets_of(_ends(possible), 2 * possible.count(), nodes, texts, ngram)
-    overlap = F.size(F.array_intersect("a_grams", "b_grams"))
-    return staged(_of_pairs(possible, sets, "grams").filter(_reaches(overlap, F.size("a_grams") + F.size("b_grams"), percent)).select("a", "b"), "links")
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for batch in links:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], names=["node", "component"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node with a link: the smallest reachable node, by min-labels with pointer jumping."""
+def components(links: DataFrame, n: int) -> DataFrame:
+    """(node, component) of every node with one of the n links or fewer: the smallest reachable node, by min-labels with pointer jumping."""
+    if n <= LOCAL_LINKS:
+        return links.select("a", "b").repartition(1).mapInArrow(_in_one_task, "node long, component long")
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
@@ -229,29 +353,37 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
-    keyed = text_only(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    id_type = keyed.schema["doc_id"].dataType.simpleString()
-    levels = spark.sparkContext.broadcast(rarity_levels(keyed, ngram))
-    rows = staged(keyed.mapInArrow(_prefixes(levels, ngram, SKETCH_BITS, percent), f"doc_id {id_type}, text_key long, n long, node long, sum2 long, profile array<int>, prefix array<long>"), "rows")
-    named = rows.select("doc_id", "text_key", "n", "node", "sum2")
-    # one row of the matrix for each distinct set
-    nodes = named.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-
+def _block(rows: DataFrame) -> DataFrame:
+    """(token, node, n, pivot) of the columns of the rows' blocks that more than one row has."""
+    draw = F.xxhash64("node", F.pmod("token", F.lit(PIVOT_KINDS)))
     column = Window.partitionBy("token")
     pivot = F.first(F.struct("node", "n")).over(column.orderBy("draw", "node"))
-    block = rows.select("node", "n", F.explode("prefix").alias("token")).withColumn("draw", F.xxhash64("node", F.pmod("token", F.lit(PIVOT_KINDS))))
-    block = block.withColumns({"pivot": pivot, "low": F.min("node").over(column), "high": F.max("node").over(column)}).filter("low <> high")
-    block = staged(block.select("token", "node", "n", "pivot"), "block")
+    cold = rows.select("node", "n", F.explode("prefix").alias("token")).withColumn("draw", draw)
+    cold = cold.withColumns({"pivot": pivot, "low": F.min("node").over(column), "high": F.max("node").over(column)}).filter("low <> high")
+    # copies of one set are one row before they meet, and a hot column is one row a task
+    hot = staged(rows.select("node", "n", F.explode("hot").alias("token")).distinct(), "hot")
+    columns = hot.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "node", "n")).alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    hot = hot.join(columns.select("token", F.struct("least.node", "least.n").alias("pivot")), "token")
+    own = ["token", "node", "n", "pivot"]
+    return staged(cold.select(own).unionByName(hot.select(own)), "block")
+
+
+def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n, component) of every row of docs (doc_id, text, text_key); the component is null without words."""
+    spark = docs.sparkSession
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    levels = spark.sparkContext.broadcast(rarity_levels(docs, ngram))
+    rows = staged(docs.mapInArrow(_prefixes(levels, ngram, SKETCH_BITS, percent), f"doc_id {id_type}, text_key long, n long, node long, profile array<int>, prefix array<long>, hot array<long>"), "rows")
+    # one row of the matrix for each distinct set
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    block = _block(rows)
 
-    first = block.filter(F.col("node") != F.col("pivot.node")).filter(_fits("n", "pivot.n", percent)).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-    first = staged(first.distinct(), "pairs")
-    links = _links(first, rows, nodes, keyed, ngram, percent)
+    first = block.filter(F.col("node") != F.col("pivot.node")).filter(_fits("n", "pivot.n", percent)).select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
+    first = staged(_ordered(first), "pairs")
+    links = _links(first, rows, nodes, docs, ngram, percent)
+    found = staged(components(links, links.count()), "labels")
 
-    found = components(links)
-    placed = block.select("token", "node", "n", F.col("pivot.node").alias("pivot")).distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = block.select("token", "node", "n").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("most"))
     apart = parts.filter("parts > 1").select("token", F.col("most.component").alias("main"), (F.col("rows") - F.col("most.rows")).alias("outside"))
     mixed = staged(placed.join(apart, "token"), "apart")
@@ -259,32 +391,43 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     outside = few.filter("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
     others = few.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
     second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
-    # any row can be the one that others are compared by; the name of the largest component is one of its rows,
-    # the same for all columns that hold it
-    crowded = staged(mixed.filter(F.col("outside") > CROWD).select(F.col("main").alias("pivot"), "node").distinct(), "crowded")
+    second = staged(_ordered(second).join(first, ["a", "b"], "left_anti"), "pairs")
+    found = _joined(found, _links(second, rows, nodes, docs, ngram, percent))
+
+    # the name of the largest component is one of its rows, the same for all columns that hold it
+    crowded = staged(mixed.filter(F.col("outside") > CROWD).select(F.col("main").alias("list"), "node").distinct(), "crowded")
     if crowded.limit(1).count():
-        second = second.unionByName(_crowded_pairs(crowded, found, nodes, keyed, ngram, percent))
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = staged(second, "pairs")
-    more = _links(second, rows, nodes, keyed, ngram, percent)
-
-    found = components(links.unionByName(more)) if more.limit(1).count() else found
-    of_set = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("doc_id"))
-    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = of_set.join(least, "component").select("node", "component_id")
-    return named.withColumn("node", F.when(F.col("n") > 0, F.col("node"))).join(answer, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each component; equal rows with words count once."""
-    found = staged(near_duplicates(docs, ngram, percent), "components")
-    extra = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    again = staged(again, "repeated")
-    n = found.filter("doc_id <> component_id").count()
-    kept = docs.join(small(extra, n), "doc_id", "left_anti")
+        found = _crowded_links(crowded, found, rows, nodes, docs, ngram, percent)
+    labelled = rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
+    return labelled.select("doc_id", "text_key", "n", F.coalesce("component", "node").alias("component"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return text_only(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+
+
+def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    found = staged(_classes(_keyed(docs, id_col, text_col), ngram, percent), "classes")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, but of each component only the text of the smallest id, once.
+
+    Rows without words stay. A row is told by its id and text, so other texts of an id are other rows;
+    a null id is the last of all.
+    """
+    found = staged(_classes(_keyed(docs, id_col, text_col), ngram, percent).filter("n > 0"), "classes")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("kept"), F.count("*").alias("rows"))
+    of = staged(found.join(kept.filter("rows > 1"), "component").groupBy("doc_id", "text_key").agg(F.first(F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.text_key") == F.col("text_key"))).alias("stays"), F.count("*").alias("rows")).filter("rows > 1 OR NOT stays"), "grouped")
+    n = of.count()
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.text_key") == F.col("o.text_key"))
+    rest = keyed.alias("d").join(small(of, n).alias("o"), same, "left_anti").select("row.*")
+    again = of.filter("stays").select("doc_id", "text_key")
     if not again.limit(1).count():
-        return kept.select(docs.columns)
-    repeated = small(again, again.count())
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+        return rest
+    once = keyed.alias("d").join(small(again, n).alias("o"), same).groupBy("d.doc_id", "d.text_key").agg(F.first("row").alias("row")).select("row.*")
+    return rest.unionByName(once)

@@ -250,9 +250,10 @@ def test_chat_parts(spark):
 # --- 8 near duplicates -------------------------------------------------------
 
 
-@pytest.mark.parametrize("crowd", [32, 1])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowd):
-    monkeypatch.setattr(near, "CROWD", crowd)
+@pytest.mark.parametrize("crowd,compared,local", [(8, 200_000, 10_000), (1, 0, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowd, compared, local):
+    for name, value in (("CROWD", crowd), ("COMPARED", compared), ("COMPARED_PER_ROW", 2 if compared == 0 else 16), ("LOCAL_LINKS", local), ("HOT_ROWS", 20 if crowd == 1 else 1000)):
+        monkeypatch.setattr(near, name, value)
     rng = random.Random(crowd)
     docs, base = [], prose(1, 120).split()
     for _ in range(90):  # copies of copies, of one to many edits
@@ -266,6 +267,41 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowd):
     assert got == brute.components(list(enumerate(docs)))
 
 
+def test_second_pass_is_linear_in_a_group(spark, monkeypatch):
+    """Pairs that are counted among near copies with one to three edits, most of them not linked to each other."""
+    counted, links = [], near._links
+    monkeypatch.setattr(near, "_links", lambda pairs, *rest: counted.append(pairs.count()) or links(pairs, *rest))
+    monkeypatch.setattr(near, "COMPARED", 0)
+    made = {}
+    for m in (150, 300):
+        rng, base, docs = random.Random(5), prose(1, 120).split(), []
+        for _ in range(m):
+            own = list(base)
+            for _ in range(rng.choice([1, 2, 3])):
+                k, kind = rng.randrange(len(own)), rng.random()
+                own[k : k + (kind < 0.7)] = [] if kind < 0.2 else [f"edit{rng.randrange(10**6)}"]
+            docs.append(" ".join(own))
+        counted.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(table(spark, docs)).collect()}
+        assert got == brute.components(list(enumerate(docs)))
+        made[m] = sum(counted)
+    assert made[300] <= 2.5 * made[150]
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    a, b, c, d = (prose(k, 50) for k in range(4))
+    docs = spark.createDataFrame([(1, a, 0, "x"), (2, a, 1, "x"), (2, b, 2, "x"), (3, c, 3, "x"), (3, d, 4, "x"), (None, d, 5, "x"), (None, prose(9, 50), 6, "x"), (None, None, 7, "x")], "doc_id long, text string, text_key long, component string")
+    assert sorted(r.text_key for r in near.one_of_each(docs).collect()) == [0, 2, 3, 4, 6, 7]
+    assert near.one_of_each(docs).columns == docs.columns and near.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_keep_clean_keeps_other_texts_of_an_id(spark):
+    item = prose(60, 40)
+    docs = spark.createDataFrame([(1, item, 0), (1, prose(61, 60), 1), (None, item, 2), (None, None, 3), (2, f"{prose(62, 30)} {item}", 4)], "doc_id long, text string, n_words long")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r.n_words for r in decontaminate.keep_clean(docs, bench).collect()) == [1, 3]
+
+
 def test_one_of_each(spark):
     docs = spark.createDataFrame([(1, prose(1, 50), "a"), (2, prose(1, 50), "b"), (3, None, "c"), (4, "", "d"), (1, prose(1, 50), "a")], "doc_id long, text string, extra string")
     assert [r.doc_id for r in rows(near.one_of_each(docs))] == [1, 3, 4]
