@@ -16,18 +16,19 @@ the block. Links found there join most of a group of near copies. A second one
 takes what is still apart in a column, the rows outside its largest component,
 against the rows of other components, so no link between components is missed.
 
-Where more than ``CROWD`` rows are outside, as among copies with many edits, rows
-are told apart by their differences from one row of that component (P). With
-D(x) = x without P and P without x, and d its size, x and y are linked only if
-D(x) and D(y) differ in at most H = (100 - p)(|x| + |y|) / (100 + p) columns, so
-they share at least (d(x) + d(y) - H) / 2 differences, one at least if both aren't
-linked to P. That is the same join again, on differences: a short prefix of the one
-with fewer of them meets a longer prefix of the other. A difference whose rows are of
-one component already links nothing and only fills places of the prefix. A list of
-rows with a common difference that is still crowded is told apart in the same way by
-one of its own rows, after what is linked to that row is joined, and so on until
-comparing what is left costs a bounded number of steps a row: each round's lists are
-parts of the ones before, without one row at least.
+Where more than ``CROWD`` rows are outside, as among copies with many edits, the rows
+are told apart by their differences from what most of them have in common. Let C be the
+columns of more than half of a list's rows, D(x) the columns in which x differs from C,
+and d their number. x and y are linked if D(x) and D(y) differ in at most
+H = (100 - p)(|x| + |y|) / (100 + p) columns. Call (100 - p)|x| - (100 + p) d(x) the slack
+of x. Two rows whose slacks add up to 0 or more are linked whatever they share, so it is
+enough to link each with the row of most slack. All others share at least
+(d(x) + d(y) - H) / 2 differences, and one at least. That is the same join again, on
+differences: a short prefix of the one with fewer of them meets a longer prefix of the
+other. A difference whose rows are of one component already links nothing and only fills
+places of the prefix. A list of rows with a common difference that is still crowded is
+told apart in the same way by what most of its rows have in common. It has at most half of
+the rows, or the difference would be none, so this ends.
 
 Row order needs only be the same everywhere, so the counts may be rough: they
 come from a table of ``2 ** SKETCH_BITS`` buckets over all documents, summed by
@@ -71,7 +72,7 @@ CROWD = 8
 COMPARED, COMPARED_PER_ROW = 200_000, 16
 #: So few links are joined in one task; more take the distributed rounds.
 LOCAL_LINKS = 10_000
-#: A pivot's columns meet its rows in so many parts.
+#: What a list has in common meets its rows in so many parts.
 SALTS = 16
 
 
@@ -206,9 +207,9 @@ def _sets_of(wanted: DataFrame, rows: int, nodes: DataFrame, texts: DataFrame, n
     return staged(one.mapInArrow(_blocks(ngram), "node long, block int, grams array<long>"), "sets").dropDuplicates(["node", "block"])
 
 
-def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (a, b) of at least the similarity: bounded by column blocks, then counted block by block."""
-    profiles = rows.join(small(_ends(pairs), 2 * pairs.count()), "node").groupBy("node").agg(F.first("profile").alias("profile"))
+    profiles = nodes.join(small(_ends(pairs), 2 * pairs.count()), "node")
     bound = F.aggregate(F.zip_with("a_profile", "b_profile", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     total = F.aggregate("a_profile", F.lit(0), lambda x, y: x + y) + F.aggregate("b_profile", F.lit(0), lambda x, y: x + y)
     bounded = _of_pairs(pairs, profiles, "profile").select("a", "b", bound.alias("bound"), total.alias("total"))
@@ -220,23 +221,35 @@ def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame
     return staged(counted.filter(_reaches(F.col("overlap"), F.col("total"), percent)).select("a", "b"), "links")
 
 
+def _apart(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
+    """Rows (list, node, ...) with their array of columns replaced by ``differ``, where it isn't what over half of the list have.
+
+    ``by`` names the list, and the block of columns if they come in blocks.
+    """
+    half = rows.groupBy("list").agg(F.count_distinct("node").alias("rows")) if "block" in by else rows.groupBy("list").agg(F.count("*").alias("rows"))
+    counts = rows.select(*by, F.explode(columns).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n_have"))
+    common = counts.join(half, "list").filter("2 * n_have > rows").groupBy(*by).agg(F.collect_list("token").alias("common"))
+    # a large list is many tasks' work
+    salted = common.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))))
+    both = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(salted, [*by, "salt"], "left")
+    shared = F.coalesce("common", F.array().cast("array<long>"))
+    return both.withColumn("differ", F.concat(F.array_except(shared, columns), F.array_except(columns, shared))).drop("salt", "common")
+
+
 def _differences(members: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
-    """(list, pivot_n, node, n, differ) of members (list, node): the columns in which a node differs from the list's own row."""
-    wanted = members.select(F.explode(F.array("list", "node")).alias("node")).distinct()
-    sets = _sets_of(wanted, 2 * members.count(), nodes, texts, ngram)
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
-    mine = members.join(sets, "node").withColumn("salt", salt)
-    of_lists = members.select("list").distinct().join(sets.withColumnRenamed("node", "list"), "list")
-    pivots = of_lists.select("list", "block", F.col("grams").alias("own"), F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
-    both = mine.join(pivots, ["list", "block", "salt"])
-    part = F.concat(F.array_except("own", "grams"), F.array_except("grams", "own"))
-    whole = both.groupBy("list", "node").agg(F.sum(F.size("own")).alias("pivot_n"), F.sum(F.size("grams")).alias("n"), F.flatten(F.collect_list(part)).alias("differ"))
-    return staged(whole.select("list", "pivot_n", "node", "n", "differ"), "differences")
-
-
-def _to_pivot(differing: DataFrame, pivot: str, found: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of lists' rows to their pivots that aren't of its component yet."""
-    near = differing.filter((F.col("node") != F.col(pivot)) & (F.size("differ") <= _may_differ(F.col("n") + F.col("pivot_n"), percent))).select(F.col(pivot).alias("x"), F.col("node").alias("y"))
+    """(list, node, n, differ) of members (list, node)."""
+    sets = _sets_of(members.select("node").distinct(), members.count(), nodes, texts, ngram)
+    parts = _apart(members.join(sets, "node"), ["list", "block"], "grams")
+    whole = parts.groupBy("list", "node").agg(F.sum(F.size("grams")).alias("n"), F.flatten(F.collect_list("differ")).alias("differ"))
+    return staged(whole, "differences")
+
+
+def _to_hub(differing: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each list's rows to the one of most slack, where the two slacks suffice and components differ."""
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.size("differ")
+    rows = differing.select("list", "node", slack.alias("slack"))
+    hubs = rows.groupBy("list").agg(F.max(F.struct("slack", "node")).alias("hub")).select("list", F.col("hub.slack").alias("most"), F.col("hub.node").alias("hub"))
+    near = rows.join(hubs, "list").filter("node <> hub AND slack + most >= 0").select(F.col("node").alias("x"), F.col("hub").alias("y"))
     return _across(_ordered(near), found)
 
 
@@ -248,7 +261,7 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs to be counted, crowded lists as (list, node, part, pivot) if any) of rows in different components.
+    """(links, crowded lists as (list, node, part) if any) of rows in different components that share a difference.
 
     The prefix of a row that meets one with as many differences or more is ``index`` long, the
     other one's is ``probe`` long; both leave out what no row of another component has.
@@ -265,9 +278,8 @@ def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[D
     placed = placed.select("list", "node", "n", "d", "component", F.col("of.token").alias("token"), (F.col("rank") < F.col("index")).alias("first"), (F.col("left") - F.col("rank")).alias("behind"))
     placed = staged(placed, "placed")
 
-    draw = F.struct("d", F.xxhash64("node", "token").alias("draw"), "node", "n")
-    lists = placed.groupBy("list", "token").agg(F.count("*").alias("rows"), F.count(F.when(F.col("first"), 1)).alias("firsts"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(draw).alias("pivot"))
-    lists = staged(lists.filter("firsts > 0 AND low <> high").select("list", "token", "rows", "firsts", "pivot"), "lists")
+    lists = placed.groupBy("list", "token").agg(F.count("*").alias("rows"), F.count(F.when(F.col("first"), 1)).alias("firsts"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = staged(lists.filter("firsts > 0 AND low <> high").select("list", "token", "rows", "firsts"), "lists")
     cost = lists.agg(F.coalesce(F.sum(F.col("firsts") * F.col("rows")), F.lit(0)).alias("all"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     last = cost["all"] <= max(COMPARED, COMPARED_PER_ROW * cost["rows"])
     few = lists if last else lists.filter(F.col("firsts") <= CROWD)
@@ -279,31 +291,25 @@ def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[D
     # what is behind the first difference that two rows share bounds how many they share
     fits = (2 * F.least("x_behind", "y_behind") >= to_share) & _fits("x_n", "y_n", percent)
     fewer = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x") < F.col("y")))
-    pairs = xs.join(ys, ["list", "token"]).filter(fewer & (F.col("x_component") != F.col("y_component")) & fits).select("x", "y")
-    crowded = placed.join(lists.filter(F.col("firsts") > CROWD), ["list", "token"]).select("list", "node", F.xxhash64("list", "token").alias("part"), "pivot")
-    return _ordered(pairs), None if last else crowded
-
-
-def _by_own_row(crowded: DataFrame, differing: DataFrame) -> DataFrame:
-    """Differences of the rows of each part of a list from one of that part."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
-    mine = crowded.join(differing.select("list", "node", "n", "differ"), ["list", "node"]).withColumn("salt", salt)
-    chosen = crowded.select("list", "part", F.col("pivot.node").alias("node"), F.col("pivot.n").alias("pivot_n")).distinct().join(differing.select("list", "node", F.col("differ").alias("own")), ["list", "node"])
-    chosen = chosen.select("part", "pivot_n", F.col("node").alias("by"), "own", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
-    both = mine.select("part", "salt", "node", "n", "differ").join(chosen, ["part", "salt"]).filter("node <> by")
-    return staged(both.select(F.col("part").alias("list"), "by", "pivot_n", "node", "n", F.concat(F.array_except("differ", "own"), F.array_except("own", "differ")).alias("differ")), "differences")
+    met = xs.join(ys, ["list", "token"]).filter(fewer & (F.col("x_component") != F.col("y_component")) & fits).select("list", "x", "y", to_share.alias("to_share")).distinct()
+    for c in "xy":
+        met = met.join(differing.select("list", F.col("node").alias(c), F.col("differ").alias(f"{c}_differ")), ["list", c])
+    links = _ordered(met.filter(2 * F.size(F.array_intersect("x_differ", "y_differ")) >= F.col("to_share")))
+    crowded = placed.join(lists.filter(F.col("firsts") > CROWD), ["list", "token"]).select("list", "node", F.xxhash64("list", "token").alias("part"))
+    return links, None if last else staged(crowded, "crowded")
 
 
-def _crowded_links(members: DataFrame, found: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _crowded_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """(node, component) after the links between different components within crowded lists (list, node)."""
-    differing = _differences(members, nodes, texts, ngram).withColumn("by", F.col("list"))
+    differing = _differences(members, nodes, texts, ngram)
     while True:
-        found = _joined(found, staged(_to_pivot(differing, "by", found, percent), "links"))
-        pairs, crowded = _told_apart(differing, found, percent)
-        found = _joined(found, _links(staged(pairs, "pairs"), rows, nodes, texts, ngram, percent))
+        found = _joined(found, staged(_to_hub(differing, found, percent), "links"))
+        links, crowded = _told_apart(differing, found, percent)
+        found = _joined(found, staged(links, "links"))
         if crowded is None:
             return found
-        differing = _by_own_row(staged(crowded, "crowded"), differing)
+        parts = crowded.join(differing.select("list", "node", "n", "differ"), ["list", "node"]).select(F.col("part").alias("list"), "node", "n", F.col("differ").alias("columns"))
+        differing = staged(_apart(parts, ["list"], "columns").select("list", "node", "n", "differ"), "differences")
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -375,12 +381,12 @@ def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(rarity_levels(docs, ngram))
     rows = staged(docs.mapInArrow(_prefixes(levels, ngram, SKETCH_BITS, percent), f"doc_id {id_type}, text_key long, n long, node long, profile array<int>, prefix array<long>, hot array<long>"), "rows")
     # one row of the matrix for each distinct set
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    nodes = staged(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("profile").alias("profile")), "nodes")
     block = _block(rows)
 
     first = block.filter(F.col("node") != F.col("pivot.node")).filter(_fits("n", "pivot.n", percent)).select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
     first = staged(_ordered(first), "pairs")
-    links = _links(first, rows, nodes, docs, ngram, percent)
+    links = _links(first, nodes, docs, ngram, percent)
     found = staged(components(links, links.count()), "labels")
 
     placed = block.select("token", "node", "n").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -392,12 +398,12 @@ def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     others = few.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
     second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
     second = staged(_ordered(second).join(first, ["a", "b"], "left_anti"), "pairs")
-    found = _joined(found, _links(second, rows, nodes, docs, ngram, percent))
+    found = _joined(found, _links(second, nodes, docs, ngram, percent))
 
     # the name of the largest component is one of its rows, the same for all columns that hold it
     crowded = staged(mixed.filter(F.col("outside") > CROWD).select(F.col("main").alias("list"), "node").distinct(), "crowded")
     if crowded.limit(1).count():
-        found = _crowded_links(crowded, found, rows, nodes, docs, ngram, percent)
+        found = _crowded_links(crowded, found, nodes, docs, ngram, percent)
     labelled = rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")
     return labelled.select("doc_id", "text_key", "n", F.coalesce("component", "node").alias("component"))
 
