@@ -11,7 +11,8 @@ no shuffle; digests of conversations stream over sorted turns and hold one turn.
 Defined cases: a null text or role is empty; a conversation's turns follow turn,
 then role, then text, so repeated rows all stay; rows with a null conversation id
 form one conversation; a part of unknown type becomes an attachment placeholder
-of one token; an empty table gives an empty result; other columns are not read.
+of one token; an empty table gives an empty result; other columns are not read; a
+very long text is one turn, the largest thing that a task holds.
 """
 
 from __future__ import annotations

@@ -118,8 +118,9 @@ def _candidates(known: Broadcast, sizes: list[int], reach: int):
     return run
 
 
-def _known(tokens: list[int]) -> np.ndarray:
-    return np.sort(np.array(tokens, dtype=np.int64).view(np.uint64))
+def _known(tokens: DataFrame) -> np.ndarray:
+    """The distinct shingles of one block of the benchmark, sorted; Arrow brings them to the driver as one array."""
+    return np.sort(tokens.select("shingle").distinct().toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -136,13 +137,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         part = distinct.filter(F.pmod("window", F.lit(n_blocks)) == block)
         tokens = part.select("window", F.size("terms").alias("size"), F.posexplode("shingles").alias("offset", "shingle"))
         sizes = sorted(r[0] for r in tokens.select(F.least("size", F.lit(shingle))).distinct().collect())
-        shared = spark.sparkContext.broadcast(_known([r[0] for r in tokens.select("shingle").distinct().collect()]))
+        shared = spark.sparkContext.broadcast(_known(tokens))
         rarity = keyed.select("text").mapInArrow(_count_shingles(shared, sizes), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         prefix = tokens.join(rarity, "shingle").groupBy("window").agg(F.count("*").alias("present"), F.min(F.struct("n", "shingle", "offset")).alias("rarest"), F.first("size").alias("size"))
         # a window lacking one of its shingles in every document is in none
         prefix = prefix.filter(F.col("present") == F.col("size") - F.least("size", F.lit(shingle)) + 1)
         chosen = staged(part.join(prefix, "window").select("window", "terms", "size", F.col("rarest.shingle").alias("shingle"), F.col("rarest.offset").alias("offset")), "prefixes")
-        rare = spark.sparkContext.broadcast(_known([r[0] for r in chosen.select("shingle").distinct().collect()]))
+        rare = spark.sparkContext.broadcast(_known(chosen))
         found = staged(keyed.mapInArrow(_candidates(rare, sizes, window), f"doc_id {id_type}, text_key long, n_words long, tokens array<struct<shingle:long,at:long,first:long,around:array<string>>>"), "candidates")
         base = base or found.select("doc_id", "text_key", "n_words")
         token = found.filter(F.size("tokens") > 0).select("doc_id", "text_key", "n_words", F.explode("tokens").alias("t")).select("doc_id", "text_key", "n_words", "t.*")

@@ -19,7 +19,9 @@ sorted array of hashes if at most ``BROADCAST_BRANCHES``, and by a join beyond.
 Defined cases: a null or empty page has no text; a null or odd url is a host of
 its own name; a branch seen on fewer than ``MIN_PAGES`` pages has no evidence
 against it; a page or article that would lose all text to entropy alone keeps it; equal rows
-get equal texts; an empty table gives an empty result; other columns aren't read.
+get equal texts; an empty table gives an empty result; other columns aren't read. A
+page is parsed and measured in time that grows with its length, however deep it nests,
+and held whole by the task that reads it.
 """
 
 from __future__ import annotations
@@ -42,8 +44,6 @@ MIN_PAGES = 5
 PRIOR_PAGES = 2
 LOW_IMPORTANCE = 0.2
 CONTENT_WEIGHT = 0.7
-#: Deeper elements count as this deep; their text stays.
-MAX_DEPTH = 48
 BROADCAST_BRANCHES = 2_000_000
 FLUSH_COUNTS = 200_000
 
@@ -65,15 +65,18 @@ MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story)(?:[-_]?(?:body
 #: Start tags that end an open element of the same group.
 IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body article section div td th".split())
+_MASK, _ROLL = (1 << 64) - 1, 0x9E3779B97F4A7C15
 NOISE, PLAIN, MAIN, ARTICLE = 0, 1, 2, 3  # MAIN is what an ARTICLE holds
 
 
 class Element:
-    __slots__ = ("branch", "children", "digest", "kind", "parent", "tag")
+    """``first`` and ``last`` bound the text blocks in and below it; ``gone`` is set once it or one above is removed."""
 
-    def __init__(self, tag: str, branch: int, kind: int, parent: Element | None):
+    __slots__ = ("branch", "children", "first", "gone", "kind", "last", "parent", "tag")
+
+    def __init__(self, tag: str, branch: int, kind: int, parent: Element | None, first: int = 0):
         self.tag, self.branch, self.kind, self.parent = tag, branch, kind, parent
-        self.digest, self.children = 0, []
+        self.first, self.last, self.gone, self.children = first, None, False, []
 
 
 class PageTree(HTMLParser):
@@ -84,7 +87,8 @@ class PageTree(HTMLParser):
         self.top = self.root = Element("", xxhash.xxh3_64_intdigest(host), PLAIN, None)
         self.elements: list[Element] = [self.root]
         self.blocks: list[tuple[Element, str]] = []
-        self.depth, self._text = 0, []
+        self.open: Counter = Counter()
+        self._text: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
@@ -101,9 +105,9 @@ class PageTree(HTMLParser):
         named = dict(attrs)
         names = " ".join(filter(None, (named.get("class"), named.get("id")))).lower()
         signature = f"{tag}.{re.sub(r'[0-9]+', '', names)}"
-        self.depth += 1
-        branch = xxhash.xxh3_64_intdigest(signature, seed=self.top.branch) if self.depth <= MAX_DEPTH else self.top.branch
-        element = Element(tag, branch, self._kind(tag, names, (named.get("role") or "").lower(), (named.get("id") or "").lower()), self.top)
+        self.open[tag] += 1
+        branch = xxhash.xxh3_64_intdigest(signature, seed=self.top.branch)
+        element = Element(tag, branch, self._kind(tag, names, (named.get("role") or "").lower(), (named.get("id") or "").lower()), self.top, len(self.blocks))
         self.top.children.append(xxhash.xxh3_64_intdigest(signature))
         self.elements.append(element)
         self.top = element
@@ -133,10 +137,13 @@ class PageTree(HTMLParser):
         self._text.append(data)
 
     def _pop(self) -> None:
+        self.top.last = len(self.blocks)
+        self.open[self.top.tag] -= 1
         self.top = self.top.parent
-        self.depth -= 1
 
     def _close(self, tag: str, within: frozenset[str]) -> None:
+        if not self.open[tag]:
+            return
         at = self.top
         while at.parent is not None and at.tag != tag:
             if at.tag in within:
@@ -167,17 +174,21 @@ def parse(host: str, html: str) -> PageTree:
 
 
 def features(tree: PageTree) -> Iterator[tuple[int, int, int, int]]:
-    """(branch, content digest, presentation digest, noise) of the branches of a page."""
-    for element, text in tree.blocks:
-        value, at = xxhash.xxh3_64_intdigest(text), element
-        while at is not None:
-            at.digest = (at.digest * 31 + value) & 0xFFFFFFFFFFFFFFFF
-            at = at.parent
+    """(branch, content digest, presentation digest, kind) of the branches of a page.
+
+    An element's blocks are neighbours, so a rolling hash over all blocks gives every digest in one step.
+    """
+    total, power = [0], [1]
+    for _, text in tree.blocks:
+        total.append((total[-1] * _ROLL + xxhash.xxh3_64_intdigest(text)) & _MASK)
+        power.append(power[-1] * _ROLL & _MASK)
     merged: dict[int, list] = {}
     for e in tree.elements[1:]:
         found = merged.setdefault(e.branch, [0, 0, NOISE])
         looks = xxhash.xxh3_64_intdigest(repr([c for k, c in enumerate(e.children) if not k or e.children[k - 1] != c]))
-        found[0], found[1] = (found[0] * 31 + e.digest) & 0xFFFFFFFFFFFFFFFF, (found[1] * 31 + looks) & 0xFFFFFFFFFFFFFFFF
+        last = len(tree.blocks) if e.last is None else e.last
+        content = (total[last] - total[e.first] * power[last - e.first]) & _MASK
+        found[0], found[1] = (found[0] * 31 + content) & _MASK, (found[1] * 31 + looks) & _MASK
         found[2] = max(found[2], e.kind)
     for branch, (content, looks, kind) in merged.items():
         yield branch, content, looks, kind
@@ -223,18 +234,12 @@ def importance(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 def main_text(tree: PageTree, is_low) -> str:
     """The text that stays once the low branches are gone."""
     branches = np.array([e.branch for e in tree.elements], dtype=np.uint64)
-    low = dict(zip((id(e) for e in tree.elements), is_low(branches), strict=True))
-
-    def removed(element: Element) -> bool:
-        while element.parent is not None:
-            if low[id(element)] and element.tag not in ("html", "body"):
-                return True
-            element = element.parent
-        return False
-
+    # parents come before what they hold
+    for element, low in zip(tree.elements[1:], is_low(branches)[1:].tolist(), strict=True):
+        element.gone = element.parent.gone or (low and element.tag not in ("html", "body"))
     clean = [(e, t) for e, t in tree.blocks if e.kind != NOISE]
     own = [(e, t) for e, t in clean if e.kind >= MAIN] or clean
-    return " ".join(t for _, t in [(e, t) for e, t in own if not removed(e)] or own)
+    return " ".join(t for _, t in [(e, t) for e, t in own if not e.gone] or own)
 
 
 def _among(table: np.ndarray):

@@ -17,7 +17,7 @@ Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is every text if nothing could be learned; a null language teaches nothing;
 a null id counts as the empty string when documents are held out; equal texts
 get equal answers; an empty table gives an empty result; other columns are not
-read.
+read. A very long text is one chunk, read whole: its words times the languages are held as floats.
 """
 
 from __future__ import annotations
@@ -135,10 +135,12 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 
 def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of runs that start at ``first``; a run may be empty."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of runs that ``first`` bounds; a run may be empty, and a sum depends on its run alone."""
+    total = np.zeros((len(first) - 1, *values.shape[1:]))
+    held = np.flatnonzero(first[1:] > first[:-1])
+    if len(held):
+        total[held] = np.add.reduceat(values, first[held], axis=0)
+    return total
 
 
 def mixtures(word_log_p: np.ndarray, first: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:

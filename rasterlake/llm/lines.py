@@ -11,7 +11,8 @@ most. What returns is one compressed keep bitmap per document that loses a line.
 Defined cases: null and empty texts are one empty line; a line that is empty
 after stripping has no key and stays; a document's own repeats of a line count
 as one document, and so do rows with equal id and text; an empty table gives an
-empty result. The texts never enter the sort.
+empty result. The texts never enter the sort. A very long text is split whole by the
+task that reads it; its lines are rows like any others.
 """
 
 from __future__ import annotations

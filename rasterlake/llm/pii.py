@@ -15,7 +15,8 @@ ranges; so are the days of 1900 to 2099, of which a date outside is not taken.
 
 Defined cases: a null text stays null with no value found; an empty text stays;
 what fails validation stays as it is; equal rows get equal results; an empty
-table gives an empty result; other columns are not read. Narrow: no shuffle.
+table gives an empty result; other columns are not read. Narrow: no shuffle. A very
+long text is searched whole, in one row.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "pseudonym key of the deployment"
+#: The session's setting that holds a deployment's key; without it, pseudonyms are under a key that anyone can read here.
+KEY_SETTING, KEY = "spark.rasterlake.pii.key", "no key is set"
 ROUNDS = 4
 
 #: The formats that are looked for, the first that matches at a place wins.

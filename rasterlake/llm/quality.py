@@ -9,7 +9,7 @@ chunks outside theirs.
 Defined cases: a null or empty text has no words and fails the base rule; texts
 too short to compress (under the first limit) are in band; equal rows get equal
 verdicts; an empty table gives an empty result; columns besides id and text are
-not read.
+not read. A very long text is one chunk of its own, compressed whole in memory.
 """
 
 from __future__ import annotations

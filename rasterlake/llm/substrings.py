@@ -15,7 +15,7 @@ of shared digests alone are joined back.
 Defined cases: null and empty texts have no chunk; repeats inside one document
 stay; rows with equal id are one document, so none loses text to itself; a null
 id takes part as the first of all; an empty table gives an empty result; other
-columns are not read.
+columns are not read. A very long text is hashed whole, as one block of its task.
 """
 
 from __future__ import annotations

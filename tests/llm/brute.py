@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import zstandard
+
 LOWER = {c: c + 32 for c in range(65, 91)}
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -27,6 +29,23 @@ def quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
 
 
+#: The bands as the contract of the operator states them, for this check alone.
+LIMITS = [(131072, 0.12, 0.66), (16384, 0.18, 0.68), (4096, 0.22, 0.70), (1024, 0.26, 0.76), (512, 0.29, 0.82), (256, 0.32, 0.88), (128, 0.35, 0.97), (0, 0.0, 9.9)]
+
+
+def compression_kept(text):
+    """Whether a text and half of its 4 KiB pieces by bytes are in band, each compressed on its own."""
+    def fits(raw):
+        low, high = next((a, b) for n, a, b in LIMITS if len(raw) >= n)
+        return low <= len(zstandard.compress(raw, 3)) / len(raw) <= high
+
+    raw = (text or "").encode()
+    if not raw:
+        return True
+    pieces = [raw[k : k + 4096] for k in range(0, len(raw), 4096)]
+    return fits(raw) and 2 * sum(len(x) for x in pieces if not fits(x)) <= len(raw)
+
+
 def line_key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 

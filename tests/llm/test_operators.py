@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -186,6 +187,65 @@ def test_html_measures_what_articles_hold(spark):
     assert all(got[200 + k] == "Equal on all pages" for k in range(20))
 
 
+def test_html_importance_equals_brute_force(spark):
+    """Entropies of a small site, counted plainly from its branches' texts and child elements."""
+    def build(k):
+        return f"<body><div class=top><p>Same on all</p></div><div class=mid><p>Own {k}</p></div><div class=half><p>Word {k % 2}</p></div><div class=list>{'<p>x</p><span>y</span><section>z</section>' * (k % 3)}</div></body>"
+
+    pages = [(f"http://s.example/{k}", build(k)) for k in range(12)]
+    seen = {}
+    for url, page_ in pages:
+        tree = html.parse("s.example", page_)
+        for branch, content, looks, kind in html.features(tree):
+            for aspect, value in ((0, content), (1, looks)):
+                seen.setdefault((branch, kind), ({}, {}))[aspect].setdefault(value, []).append(url)
+
+    def entropy(groups, n):
+        return -sum(len(g) / n * np.log2(len(g) / n) for g in groups.values()) / np.log2(n)
+
+    want = {}
+    for (branch, _), aspects in seen.items():
+        n = sum(map(len, aspects[0].values()))
+        want[branch] = html.CONTENT_WEIGHT * entropy(aspects[0], n) + (1 - html.CONTENT_WEIGHT) * entropy(aspects[1], n)
+    docs = spark.createDataFrame([("s.example", p) for _, p in pages], "host string, html string")
+    got = {r.branch % 2**64: r.importance for r in html.importance(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-9 for b in want)
+    assert sum(v < html.LOW_IMPORTANCE for v in got.values()) == 2  # the fixed division and its paragraph
+
+
+def test_html_tree_changes_pages(spark):
+    """Pages whose text the style tree alone decides: nothing in them is named."""
+    build = lambda k: f"<body><div class=a1><p>Welcome to our site</p></div><div class=b2><h1>Story {k}</h1><p>Own words {k}</p><div class=c3>Read more every week</div></div></body>"
+    pages = [(k, "http://u.example/", build(k)) for k in range(30)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(frame).collect()}
+    without = {r.page_id: r.text for r in html.extract(frame, low_importance=0.0).collect()}
+    assert sum(got[k] != without[k] for k in got) == 30
+    assert all(got[k] == f"Story {k} Own words {k}" for k in got)
+
+
+def test_html_deep_pages_take_linear_time():
+    def seconds(n):
+        page_ = "".join(f"<div><p>t{k}" for k in range(n)) + "</b></x></p>" * n
+        began = time.perf_counter()
+        tree = html.parse("h", page_)
+        assert len({b for b, *_ in html.features(tree)}) == 2 * n
+        assert html.main_text(tree, lambda b: np.zeros(len(b), bool)).count(" ") == n - 1
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(10_000) < 12 * max(seconds(2_000), 0.02)
+
+
+def test_html_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "http://h/", page(1), "x"), (1, "http://h/", page(1), "x"), (None, None, None, "y"), (2, "http://h/", "<p>" + "word " * 200_000, "z")], "page_id long, url string, html string, text string")
+    got = html.extract(pages)
+    assert got.columns == ["page_id", "url", "text"]
+    found = rows(got, "page_id")
+    assert len(found) == 4 and found[0].text == "" and found[1] == found[2] and found[3].text == ("word " * 200_000).strip()
+    assert html.extract(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("open_, kept", [("section id=related-work", True), ("h2 id=search", True), ("div class=entry-header", True), ("section id=social-history", True), ("div id=banner-design", True), ("section id=comments", True), ("div class='box ad'", False), ("div id=comments", False), ("section class=related", False), ("div class=ad-2", False)])
 def test_html_names_inside_articles(open_, kept):
     tree = html.parse("h", f"<body><article><p>before</p><{open_}>inner</{open_.split()[0]}><p>after</p></article></body>")
@@ -247,6 +307,14 @@ def test_chat_parts(spark):
     assert chat.read_turn(got.formatted)[1].startswith("see <|image|><|image|>")
 
 
+def test_chat_odd_tables(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a", 5), (1, 0, "user", "a", 5), (1, None, None, None, 6), (2, 1, "assistant", "word " * 100_000, 7)], "conv_id long, turn long, role string, text string, n_turns int")
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.format_turns(turns)).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {1: 3, 2: 1} and got[2].loss_chars == 500_000
+    assert got[1].turns_sha256 == hashlib.sha256(b"\n\nuser\na\nuser\na\n").hexdigest()
+    assert chat.conversation_digests(chat.format_turns(turns.limit(0))).collect() == []
+
+
 # --- 8 near duplicates -------------------------------------------------------
 
 
@@ -316,6 +384,15 @@ def test_quality_counts_equal_brute_force(spark, odd_texts):
     assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got] == [brute.quality(t) for t in texts]
 
 
+def test_quality_verdicts_equal_brute_force(spark, odd_texts):
+    rng = random.Random(4)
+    texts = [*odd_texts, *(prose(k, rng.choice([20, 30, 60, 120, 400, 1500, 9000])) for k in range(30))]
+    texts += [f"{prose(k, 400)} {('same again ' * 700) if k % 2 else base64.b85encode(rng.randbytes(4000)).decode()}" for k in range(12)]
+    got = rows(quality.quality_rules(table(spark, texts)))
+    assert [r.kept for r in got] == [not brute.quality(t)[-1] and brute.compression_kept(t) for t in texts]
+    assert 10 < sum(r.kept for r in got) < len(texts) - 10
+
+
 def test_quality_bands(spark):
     noise = base64.b85encode(random.Random(1).randbytes(6000)).decode()
     spaced = " ".join(noise[i : i + 7] for i in range(0, len(noise), 7))

@@ -1,15 +1,12 @@
-"""The pipeline's stages, one after another, against plain versions (zstandard verdicts are the operator's own)."""
+"""The pipeline's stages, one after another, against plain versions."""
 
 import brute
 import corpus_pipeline
 import pytest
-import zstandard
 from pyspark.sql import functions as F
 from samples import prose
 from test_operators import check_packing
 
-from rasterlake.llm import quality
-
 ITEMS = [(0, prose(900, 30)), (1, prose(901, 13)), (2, None)]
 
 
@@ -28,8 +25,7 @@ def sf_dir(spark, tmp_path_factory):
 
 def plainly(docs):
     """{doc_id: text} before packing."""
-    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
-    docs = {i: t for i, t in docs.items() if not brute.quality(t)[-1] and quality.compression((t or "").encode(), compress)[-1]}
+    docs = {i: t for i, t in docs.items() if not brute.quality(t)[-1] and brute.compression_kept(t)}
     common = [k for k, n in brute.line_counts(docs.values()).items() if n >= 10]
     docs = {i: "\n".join(x for x in t.split("\n") if brute.line_key(x) not in common) for i, t in docs.items()}
     found = brute.components(list(docs.items()))
@@ -69,3 +65,23 @@ def test_near_stage_takes_five_words_and_four_fifths(spark):
     want = {2 * k for k in range(5)} | {2 * k + 1 for k in range(5) if likeness(texts[2 * k], texts[2 * k + 1]) < 0.8}
     assert 5 < len(want) < 10
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_repeated_null_and_clashing_rows(spark, sf_dir, tmp_path):
+    """Other texts of an id, null ids and columns named like the stages' own survive all stages; an empty table too."""
+    a, b, c, d = (prose(700 + k, 60) for k in range(4))
+    texts = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, d), (None, prose(710, 60)), (4, f"{prose(711, 20)} {ITEMS[0][1]}"), (4, prose(712, 60)), (5, None), (None, "")]
+    rows = [(i, t, "en", "s", len(t or ""), k, "x") for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component long, text_key string")
+    left = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, left, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        left = spark.read.parquet(f"{tmp_path}/{k}")
+        assert left.dtypes == docs.dtypes
+    assert sorted(r.component for r in left.collect()) == [0, 2, 3, 4, 6, 8]
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, sf_dir).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in packed if r.piece == 0 and r.doc_id is not None) == [(False, i) for i in (1, 2, 3, 3, 4)]
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.count() == 0
