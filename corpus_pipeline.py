@@ -4,6 +4,12 @@ quality rules: rejected documents go. line dedup: lines common to many documents
 go, texts and their lengths follow. near duplicates: one document of each group
 stays. benchmark decontamination: contaminated documents go. best-fit packing:
 what is left becomes training sequences, one row per piece.
+
+Defined cases: null, empty and blank texts go with the first stage, which asks for
+words. A row is told by its id and text, so other texts of an id, and of a null id, are rows of their
+own; equal rows are near duplicates, of which one stays. Of tied near duplicates the smallest id
+stays. Very long texts are kept whole and cut into pieces by packing. Other columns come along
+under any name until packing, which returns its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
