@@ -79,3 +79,58 @@ def even_size(height: Column, aspect: Column) -> tuple[Column, Column]:
     h = F.greatest(F.lit(2), height - height % 2).cast("int")
     w = F.greatest(F.lit(2), F.floor(h * aspect + 0.5).cast("int"))
     return (w - w % 2).cast("int"), h
+
+
+def zoom_at(zoom: Column, cx: Column, cy: Column, factor: Column, ax: Column, ay: Column, pane_x: Column, pane_y: Column) -> tuple[Column, Column, Column]:
+    """(zoom, centre x, centre y) after zooming about a screen point, which keeps the image point under it."""
+    new = clamp_zoom(zoom * factor)
+    moved = lambda c, a, p: c + (a - p) / zoom - (a - p) / new
+    return new, moved(cx, ax, pane_x), moved(cy, ay, pane_y)
+
+
+def to_screen(x: Column, y: Column, zoom: Column, cx: Column, cy: Column, pane_x: Column, pane_y: Column) -> tuple[Column, Column]:
+    """Where an image point lies on the screen, for a view centred on (cx, cy) in a pane centred on (pane_x, pane_y)."""
+    return pane_x + (x - cx) * zoom, pane_y + (y - cy) * zoom
+
+
+def to_image(sx: Column, sy: Column, zoom: Column, cx: Column, cy: Column, pane_x: Column, pane_y: Column) -> tuple[Column, Column]:
+    return cx + (sx - pane_x) / zoom, cy + (sy - pane_y) / zoom
+
+
+def rotated_to_screen(x: Column, y: Column, w: Column, h: Column, degrees: Column, *view: Column) -> tuple[Column, Column]:
+    """As ``to_screen`` for a view that is turned about the image's centre."""
+    return rotate(*to_screen(x, y, *view), *to_screen(w / 2.0, h / 2.0, *view), degrees)
+
+
+def rotated_to_image(sx: Column, sy: Column, w: Column, h: Column, degrees: Column, *view: Column) -> tuple[Column, Column]:
+    return to_image(*rotate(sx, sy, *to_screen(w / 2.0, h / 2.0, *view), -degrees), *view)
+
+
+def fit_step(w: Column, h: Column, side: Column | int) -> Column:
+    """The least decimation after which neither side is longer than ``side``; 1 if there is no limit."""
+    limit = F.lit(side)
+    return F.when(limit <= 0, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.greatest(w, h) / F.greatest(limit, F.lit(1))))).cast("int")
+
+
+#: Fixed value: pixels of a thumbnail's longer side.
+THUMBNAIL = 240
+
+
+def stepped(n: Column, step: Column) -> Column:
+    """Samples left of n when every step-th stays."""
+    return F.greatest(F.lit(1), F.ceil(n / step)).cast("int")
+
+
+def anchor_fractions(anchor: Column) -> tuple[Column, Column]:
+    """Where a label stands in its free space, for anchors 0 to 8 counted by rows of three."""
+    return (anchor % 3) / 2.0, F.floor(anchor / 3) / 2.0
+
+
+def union(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The box around two rectangles of x0, y0, x1, y1."""
+    return {k: (F.least if k.endswith("0") else F.greatest)(a[k], b[k]) for k in a}
+
+
+def intersection(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """What two rectangles share; x1 < x0 or y1 < y0 where they don't meet."""
+    return {k: (F.greatest if k.endswith("0") else F.least)(a[k], b[k]) for k in a}

@@ -76,3 +76,38 @@ def quoted(text: Column) -> Column:
 
 def readout(value: Column, is_float: bool) -> Column:
     return F.format_string("%.4f", value.cast("double")) if is_float else value.cast("long").cast("string")
+
+
+def reduced_name(name: Column, level: Column) -> Column:
+    """A name says by how much its image is reduced."""
+    return F.when(level == 0, name).otherwise(F.concat(name, F.lit(" (1/"), F.pow(F.lit(2), level).cast("int").cast("string"), F.lit(")")))
+
+
+def label(custom: Column, name: Column) -> Column:
+    """The user's text; a media's own name where that is unset or blank."""
+    return F.coalesce(F.nullif(F.trim(custom), F.lit("")), name)
+
+
+def short_number(value: Column, digits: int, whole: float) -> Column:
+    """Without decimals if the fraction is below ``whole``, else with ``digits``, rounded half to even."""
+    fraction = F.abs(value - value.cast("long"))
+    return F.when(fraction < whole, F.round(value).cast("long").cast("string")).otherwise(F.call_function("format_number", value, F.lit(f"0.{'0' * digits}")))
+
+
+def computed_name(title: Column, a: Column, sign: str, b: Column) -> Column:
+    return F.concat(title, F.lit(" · "), a, F.lit(f" {sign} "), b)
+
+
+def export_format(name: Column) -> Column:
+    return F.when(F.lower(F.regexp_extract(F.trim(name), r"\.([^.]*)$", 1)).isin("png", "jpg", "jpeg"), "image").otherwise("video")
+
+
+def log_tail(log: Column, lines: int) -> Column:
+    """The last lines, the latest first; a final line break ends a line and begins none."""
+    return F.array_join(F.slice(F.reverse(F.split(F.regexp_replace(log, r"\n$", ""), "\n")), 1, lines), " | ")
+
+
+def video_frames(stated: Column, packets: Column, seconds: Column, fps: Column) -> Column:
+    """The number of frames that a probe gives; null if it gives none."""
+    counted = F.coalesce(packets, F.round(seconds * fps).cast("long"))
+    return F.coalesce(stated, F.when(counted > 0, counted))

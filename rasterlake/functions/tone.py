@@ -60,10 +60,10 @@ def opacity(o: Column) -> Column:
     return (F.least(F.lit(1.0), F.greatest(F.lit(0.0), o)) * 255).cast("int")
 
 
-def intensity_alpha(s: Column, lo: Column, hi: Column, alpha: int) -> Column:
+def intensity_alpha(s: Column, lo: Column, hi: Column, alpha: Column | int) -> Column:
     span = F.greatest((hi - lo).cast("float"), F.lit(1.1754943508222875e-38).cast("float"))
     part = F.least(F.lit(1.0).cast("float"), F.greatest(F.lit(0.0).cast("float"), ((s - lo).cast("float") / span).cast("float")))
-    return F.round((part * F.lit(float(alpha)).cast("float")).cast("double")).cast("int")
+    return F.round((part * F.lit(alpha).cast("float")).cast("double")).cast("int")
 
 
 def blend(base: Column, over: Column, alpha: Column) -> Column:
@@ -74,3 +74,57 @@ def blend(base: Column, over: Column, alpha: Column) -> Column:
 
 def nominal_max(dtype: Column) -> Column:
     return F.when(dtype == "uint8", 255.0).when(dtype == "uint16", 65535.0).otherwise(1.0)
+
+
+def operator_input(dtype: Column, channels: Column) -> Column:
+    """Whether a frame may go through the 16-bit operators."""
+    return (channels == 1) & (dtype == "uint16")
+
+
+def deep(dtype: Column) -> Column:
+    """More than 8 bits a sample; such frames are clipped by default."""
+    return dtype != "uint8"
+
+
+def may_overlay(channels: Column) -> Column:
+    """Mono frames and those of three colours can lie over others."""
+    return channels.isin(1, 3, 4)
+
+
+def table_entries(dtype: Column) -> Column:
+    """Entries of a tone table: every value of an integer type, 256 levels of a float."""
+    return F.when(dtype == "uint16", 65536).otherwise(256)
+
+
+def clip_percent(tone: Column, enabled: Column, percent: Column) -> Column:
+    """The tails that are clipped; none when that is off, and none for the look that makes its own contrast."""
+    return F.when(enabled & (tone != "lut_alpha"), percent)
+
+
+def uses_palette(tone: Column, channels: Column, mask: Column) -> Column:
+    """Palettes colour frames of one colour that aren't masks."""
+    return (tone == "colormap") & channels.isin(1, 2) & ~mask
+
+
+def label_blend(base: Column, covered: Column, colour: Column, a: Column) -> Column:
+    """A label's channel over an image's, or over the background where no image is."""
+    return F.floor(F.when(covered, base).otherwise(BACKGROUND[0]) * (1 - a) + colour * a + 0.5).cast("int")
+
+
+def on_white(value: Column, alpha: Column) -> Column:
+    """What a format without alpha stores."""
+    return F.when(alpha == 0, 255).otherwise(value)
+
+
+def plane_channels(space: Column, stated: Column, alpha: Column, planes: Column) -> Column:
+    """Channels that decoded planes become: one or three colours, and alpha beside three if a plane is left for it; null if they can't be shown."""
+    named = F.when(space == "gray", 1).when(space == "rgb", 3)
+    colours = F.when(space.isin("icc", "unknown"), F.when(stated.isin(1, 3), stated)).otherwise(named)
+    full = F.when(alpha & (planes > colours), 4).otherwise(3)
+    return F.when(planes >= colours, F.when(colours == 1, 1).otherwise(full)).cast("int")
+
+
+def interleave(planes: Column, channels: int, size: int, top: Column) -> Column:
+    """Planes one after another as pixels, rounded half away from zero and clamped to 0..top."""
+    held = F.transform(planes, lambda v: F.greatest(F.lit(0), F.least(top, F.round(v))).cast("int"))
+    return F.flatten(F.transform(F.arrays_zip(*(F.slice(held, c * size + 1, size).alias(f"c{c}") for c in range(channels))), lambda z: F.array(*(z[f"c{c}"] for c in range(channels)))))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterlake.functions.tone import histogram_bin
+from rasterlake.operators import packed
 
 FLOAT_BINS = 4096
 
@@ -31,7 +32,12 @@ def with_extent(px: DataFrame, keys: list[str], nominal: float = 1.0) -> DataFra
 
 def histogram(px: DataFrame, keys: list[str], bins: int, per: tuple[str, ...] = ()) -> DataFrame:
     """Counts by bin over each group's shared extent, split by ``per`` (channels)."""
-    binned = with_extent(px.filter(~F.isnan("v")), keys).withColumn("bin", histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
+    return binned_counts(with_extent(px.filter(~F.isnan("v")), keys), keys, bins, per)
+
+
+def binned_counts(px: DataFrame, keys: list[str], bins: int, per: tuple[str, ...] = ()) -> DataFrame:
+    """Counts by bin of pixels that carry their extent, as those of packed frames do."""
+    binned = px.filter(~F.isnan("v")).withColumn("bin", histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), bins))
     return binned.groupBy(*keys, *per, "bin").agg(F.count("*").alias("n"))
 
 
@@ -74,14 +80,28 @@ def int_percentiles(px: DataFrame, keys: list[str], percent: float, top: int, fa
 
 def float_percentiles(px: DataFrame, keys: list[str], percent: float) -> DataFrame:
     """(lo, hi) at the tails of float pixels over 4096 bins of the extent."""
+    return _at_tails(tail_bins(histogram(px, keys, FLOAT_BINS), keys, percent, "bin", FLOAT_BINS - 1).join(extent(px, keys), keys), keys)
+
+
+def _at_tails(tails: DataFrame, keys: list[str]) -> DataFrame:
     single = lambda x: F.lit(x).cast("float")
-    tails = tail_bins(histogram(px, keys, FLOAT_BINS), keys, percent, "bin", FLOAT_BINS - 1).join(extent(px, keys), keys)
     span = (F.col("hi") - F.col("lo")).cast("float")
     at = lambda b: (F.col("lo") + ((F.col(b).cast("float") / single(FLOAT_BINS - 1.0)).cast("float") * span).cast("float")).cast("float")
     flat = (F.col("hi") <= F.col("lo")) | (F.col("high") <= F.col("low"))
     return tails.select(*keys, F.when(flat, F.col("lo")).otherwise(at("low")).alias("p_lo"), F.when(flat, F.col("hi")).otherwise(at("high")).alias("p_hi"))
 
 
+def frame_bounds(frames: DataFrame, keys: list[str], w: int, h: int, percent: float | None = None, region: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(lo, hi) of packed float frames: of the region if it covers a pixel, else of the whole frame; clipped at both tails if percent is given."""
+    inside = region and packed.region_bounds(*region, w, h)
+    subject = frames.withColumn("samples", packed.crop(F.col("samples"), w, *inside)) if inside else frames
+    with_lo_hi = packed.with_extent(subject.select(*keys, "samples"))
+    if percent is None:
+        return with_lo_hi.select(*keys, "lo", "hi")
+    counts = binned_counts(with_lo_hi.select(*keys, "lo", "hi", F.explode("samples").alias("v")), [*keys, "lo", "hi"], FLOAT_BINS)
+    return _at_tails(tail_bins(counts, [*keys, "lo", "hi"], percent, "bin", FLOAT_BINS - 1), keys).withColumnsRenamed({"p_lo": "lo", "p_hi": "hi"})
+
+
 def in_region(px: DataFrame, x0: float, y0: float, x1: float, y1: float, w: int, h: int) -> DataFrame:
     """Pixels of a float rectangle: outer integer bounds, clamped; none if it is empty."""
     left, top, right, bottom = (int(max(0, min(n, v))) for v, n in ((x0 // 1, w), (y0 // 1, h), (-(-x1 // 1), w), (-(-y1 // 1), h)))

@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 def shown(t: Column, count: Column, synced: Column, own: Column) -> Column:
     """The frame that a media shows at t: synced ones hold their last, others keep their own place."""
     n = F.greatest(count, F.lit(1))
-    return F.when(synced, F.least(t, n - 1)).otherwise(own % n).cast("int")
+    return F.when(synced, F.least(t, n - 1)).otherwise(own % n).cast("long")
 
 
-def timeline(media: DataFrame, length: int) -> DataFrame:
-    """Each media at each of ``length`` positions; media has count, synced and own."""
-    return media.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn("frame_idx", shown(F.col("t"), F.col("count"), F.col("synced"), F.col("own")))
+def spans(media: DataFrame, frames: DataFrame) -> DataFrame:
+    """(media_id, start, stop, frame_idx): the positions of the common timeline at which each frame is shown.
+
+    media has media_id, count, synced and own; frames has media_id and frame_idx. The timeline is as
+    long as its longest media. A synced media's last frame is held to the end, and a media that isn't
+    synced shows one frame throughout, so there is one row a frame at most, not one a position.
+    """
+    longest = media.agg(F.max("count").alias("longest")).scalar()
+    of = frames.join(media, "media_id")
+    last, at = F.col("count") - 1, F.col("frame_idx")
+    held = of.filter(F.col("synced") | (at == F.col("own") % F.col("count")))
+    start = F.when(F.col("synced"), at).otherwise(0).cast("long")
+    stop = F.when(F.col("synced") & (at < last), at).otherwise(longest - 1).cast("long")
+    return held.select("media_id", start.alias("start"), stop.alias("stop"), at.cast("long").alias("frame_idx"))
 
 
 def runs(df: DataFrame, keys: list[str], number: str) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterlake.plans.stage import cut
+
 
 @dataclass(frozen=True)
 class Node:
@@ -75,6 +77,16 @@ class Graph:
 
 
 def reachable(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, source): everything that each node depends on, by a recursive query over (node, source) edges."""
-    edges.createOrReplaceTempView("_graph_edges")
-    return spark.sql("WITH RECURSIVE r(node, source) AS (SELECT node, source FROM _graph_edges UNION ALL SELECT r.node, e.source FROM r JOIN _graph_edges e ON e.node = r.source) SELECT DISTINCT node, source FROM r")
+    """(node, source): everything that each node depends on, from (node, source) edges.
+
+    Each round follows the edges of what the last one found and keeps only what is new, so a diamond
+    costs its pairs, not its paths. Rounds end at the longest chain; each is written, so lineage stays short.
+    """
+    edges = cut(edges.select("node", "source").distinct())
+    known = frontier = edges
+    while True:
+        further = frontier.alias("f").join(edges.alias("e"), F.col("f.source") == F.col("e.node")).select("f.node", "e.source").distinct()
+        frontier = cut(further.join(known, ["node", "source"], "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = cut(known.unionByName(frontier))

@@ -14,9 +14,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, media: str, *order: str, name: str = "frame_idx") -> DataFrame:
-    """Dense 0-based positions within each media."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(media).orderBy(*order)) - 1).cast("int"))
+#: Rows of a media that one task may number; the parts of a larger one.
+SPLIT_ROWS, PARTS = 4_000_000, 256
+
+
+def numbered(df: DataFrame, media: str, *order: str, name: str = "frame_idx", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Dense 0-based positions within each media.
+
+    No media of a table of at most ``split_rows`` rows (a count of file footers) is too large for
+    one task. In a larger table, those with more rows are cut at quantiles of the first order
+    column, every part is numbered on its own, and the rows of the parts before it are added.
+    """
+
+    def place(*by: str) -> Column:
+        return (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long")
+
+    if df.select(media).count() <= split_rows:
+        return df.withColumn(name, place(media))
+    keys = df.select(media, F.col(order[0]).alias("_at"))
+    large = keys.groupBy(media).count().filter(F.col("count") > split_rows).select(media)
+    cuts = keys.join(large, media).groupBy(media).agg(F.percentile_approx("_at", [k / PARTS for k in range(1, PARTS)]).alias("_cuts"))
+    part = lambda at: F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(at))))
+    sizes = keys.join(cuts, media).groupBy(media, part("_at").alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(media).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(media, "_part", before.alias("_before"))
+    parted = df.join(cuts, media, "left").withColumn("_part", part(order[0])).drop("_cuts")
+    placed = parted.withColumn(name, place(media, "_part")).join(offsets, [media, "_part"], "left")
+    return placed.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
 
 
 def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +61,9 @@ def embedding_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(embedding_frames(spark, sf_dir), 8)
 
 
-def embedding_rgb_px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 48 values as 4 x 4 frames of three channels."""
-    frames = embedding_frames(spark, sf_dir).select("media_id", "frame_idx", F.slice("samples", 1, 48).alias("samples"))
-    return pixels(frames, 4, 3)
+def embedding_rgba_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors as 4 x 4 frames of red, green, blue and alpha."""
+    return embedding_frames(spark, sf_dir).withColumns({"w": F.lit(4), "h": F.lit(4), "channels": F.lit(4)})
 
 
 def quantity_px(spark: SparkSession, sf_dir: str) -> DataFrame:

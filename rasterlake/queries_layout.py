@@ -31,13 +31,13 @@ def split_index(spark, d):
     return V.table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in parts.items()))
 
 
-RUNS_SQL = "n AS (SELECT DISTINCT o_orderpriority || '_' AS prefix, o_orderkey AS number FROM orders WHERE o_orderstatus = 'P'), g AS (SELECT *, number - row_number() OVER (PARTITION BY prefix ORDER BY number) AS island FROM n), r AS (SELECT prefix, min(number) AS start, max(number) AS stop, count(*) AS n FROM g GROUP BY prefix, island)"
+RUNS_SQL = "n AS (SELECT DISTINCT o_orderpriority || '_' || o_orderstatus || '_' AS prefix, o_orderkey AS number FROM orders), g AS (SELECT *, number - row_number() OVER (PARTITION BY prefix ORDER BY number) AS island FROM n), r AS (SELECT prefix, min(number) AS start, max(number) AS stop, count(*) AS n FROM g GROUP BY prefix, island)"
 
 
 @query(f"WITH {RUNS_SQL} SELECT CASE WHEN n = 1 THEN prefix || CASE WHEN len(CAST(start AS VARCHAR)) >= 5 THEN CAST(start AS VARCHAR) ELSE lpad(CAST(start AS VARCHAR), 5, '0') END || '.tif' ELSE prefix || '%05u.tif,' || start || ',' || stop END AS token, n FROM r")
 def group_runs(spark, d):
     """Consecutive numbers as one token, single files by name."""
-    names = V.table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.concat("o_orderpriority", F.lit("_")).alias("prefix"), F.col("o_orderkey").alias("number"))
+    names = V.table(spark, d, "orders").select(F.concat("o_orderpriority", F.lit("_"), "o_orderstatus", F.lit("_")).alias("prefix"), F.col("o_orderkey").alias("number"))
     runs = L.runs(names, ["prefix"], "number")
     single = F.concat("prefix", K.padded(F.col("start"), F.lit(5)), F.lit(".tif"))
     return runs.select(F.when(F.col("n") == 1, single).otherwise(K.token(F.col("prefix"), F.lit(5), F.lit(".tif"), F.col("start"), F.col("stop"))).alias("token"), "n")
@@ -59,7 +59,7 @@ def list_folder(spark, d):
 
 @query(f"WITH {NAMES_SQL}, f AS (SELECT *, lower(string_split(name, '.')[-1]) AS ext FROM names) SELECT dir, count(*) FILTER (WHERE ext IN ('tif', 'png')) AS images, count(*) FILTER (WHERE ext IN ('mp4', 'avi')) AS videos, CASE WHEN count(*) FILTER (WHERE ext IN ('tif', 'png')) >= 2 THEN min(name) FILTER (WHERE ext IN ('tif', 'png')) END AS first FROM f GROUP BY dir")
 def folder_inputs(spark, d):
-    """One sequence of a folder's images, each video its own media."""
+    """S29, S30, M28, as counts and the name of the first: one sequence of a folder's images, each video its own media."""
     image = K.is_loadable(F.col("name")) & ~K.is_video(F.col("name"))
     video = K.is_video(F.col("name"))
     n = F.count(F.when(image, 1))
@@ -125,26 +125,39 @@ def fast_jump(spark, d):
     return _frame_map(spark, d).filter("frame_idx = 9").select("media_id", "file_idx", "page")
 
 
-HEADERS_SQL = "h AS (SELECT l_orderkey AS file, l_linenumber AS page, min(CASE WHEN l_orderkey % 3 = 0 THEN l_linenumber * 1000 ELSE l_linenumber * 1000 + CAST(l_quantity AS INTEGER) % 2 * l_linenumber END) AS off FROM lineitem GROUP BY ALL)"
+#: A page header a line: where it stands, where its strips do, its shape and the next page. Files
+#: are regular (a third), drift, break their chain, change shape or move a strip, as their numbers say.
+HEADERS_SQL = """k AS (SELECT l_orderkey AS file, l_linenumber AS line, min(CAST(l_quantity AS INTEGER)) AS q FROM lineitem GROUP BY ALL),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS BIGINT) AS page FROM k),
+    o AS (SELECT file, page, q, 16 + page * 1000 + CASE WHEN file % 3 = 0 THEN 0 ELSE q % 2 * page END AS off FROM n),
+    h AS (SELECT file, page, off, CASE WHEN file % 7 = 0 AND page % 4 = 3 THEN 0 ELSE coalesce(lead(off) OVER (PARTITION BY file ORDER BY page), 0) END AS next, CAST(4 + CASE WHEN q % 13 = 0 THEN 1 ELSE 0 END AS INTEGER) AS w, 3 AS h, [off + 100, off + 200 + CASE WHEN q % 11 = 0 THEN 4 ELSE 0 END] AS strips FROM o)"""
 
 
 def _headers(spark, d):
-    off = F.when(F.col("l_orderkey") % 3 == 0, F.col("l_linenumber") * 1000).otherwise(F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("int") % 2 * F.col("l_linenumber"))
-    return V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("page")).agg(F.min(off).alias("off"))
+    q = F.min(F.col("l_quantity").cast("int"))
+    lines = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).agg(q.alias("q"))
+    w = Window.partitionBy("file").orderBy("line")
+    page = (F.row_number().over(w) - 1).cast("long")
+    rows = lines.withColumn("page", page).withColumn("off", 16 + F.col("page") * 1000 + F.when(F.col("file") % 3 == 0, 0).otherwise(F.col("q") % 2 * F.col("page")))
+    following = F.when((F.col("file") % 7 == 0) & (F.col("page") % 4 == 3), 0).otherwise(F.coalesce(F.lead("off").over(w), F.lit(0)))
+    strips = F.array(F.col("off") + 100, F.col("off") + 200 + F.when(F.col("q") % 11 == 0, 4).otherwise(0))
+    return rows.select("file", "page", "off", following.alias("next"), (4 + F.when(F.col("q") % 13 == 0, 1).otherwise(0)).cast("int").alias("w"), F.lit(3).alias("h"), strips.alias("strips"))
 
 
 @query(f"WITH {HEADERS_SQL}, s AS (SELECT *, lead(off) OVER (PARTITION BY file ORDER BY page) - off AS step FROM h) SELECT file, count(*) AS pages, min(step) AS stride, coalesce(min(step) = max(step) AND min(step) > 0, false) AS regular FROM s GROUP BY file")
 def page_stride_check(spark, d):
-    """I04, I05, I16."""
+    """Whether a file's pages stand one stride apart."""
     return Y.strides(_headers(spark, d), "file", "page", "off")
 
 
-@query(f"WITH {HEADERS_SQL}, n AS (SELECT *, CASE WHEN page % 4 = 3 THEN 0 ELSE coalesce(lead(off) OVER w, 0) END AS nxt, lead(off) OVER w - off AS step FROM h WINDOW w AS (PARTITION BY file ORDER BY page)), v AS (SELECT *, lag(nxt) OVER w AS pre, first_value(step) OVER w AS tpl, min(page) OVER w AS p0 FROM n WINDOW w AS (PARTITION BY file ORDER BY page)) SELECT file, page, coalesce(page = p0 OR (pre = off AND (nxt = 0 OR nxt = off + tpl)), false) AS valid FROM v")
+CHECKED_SQL = f"""{HEADERS_SQL}, t AS (SELECT file, max(off) FILTER (WHERE page = 0) AS off0, max(off) FILTER (WHERE page = 1) AS off1, max(w) FILTER (WHERE page = 0) AS w0, max(h) FILTER (WHERE page = 0) AS h0, max(strips) FILTER (WHERE page = 0) AS s0 FROM h WHERE page <= 1 GROUP BY file),
+    c AS (SELECT h.*, lag(next) OVER (PARTITION BY file ORDER BY page) AS pre, coalesce(off1 - off0, 0) AS stride, off0 + page * coalesce(off1 - off0, 0) AS predicted, w = w0 AND h.h = h0 AS same_shape, list_transform(strips, lambda x: x - off) = list_transform(s0, lambda x: x - off0) AS same_strips FROM h JOIN t USING (file))"""
+
+
+@query(f"WITH {CHECKED_SQL} SELECT file, page, predicted, same_shape, same_strips, page = 0 OR (off = predicted AND same_shape AND same_strips AND (next = 0 OR next = off + stride) AND coalesce(pre = off, false)) AS valid FROM c")
 def validated_pages(spark, d):
-    """I06, I13, M20, W15."""
-    w = Window.partitionBy("file").orderBy("page")
-    h = _headers(spark, d).withColumn("next", F.when(F.col("page") % 4 == 3, 0).otherwise(F.coalesce(F.lead("off").over(w), F.lit(0))))
-    return Y.validated(h, "file", "page", "off", "next").select("file", "page", F.coalesce("valid", F.lit(False)).alias("valid"))
+    """A predicted place holds a page of the first one's shape and strips, one stride on from the page that points to it."""
+    return Y.validated(_headers(spark, d)).select("file", "page", "predicted", "same_shape", "same_strips", "valid")
 
 
 STRIPS_SQL = "s AS (SELECT l_orderkey AS file, l_linenumber AS strip, CAST(l_quantity AS BIGINT) AS len, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) WHERE k = 1), o AS (SELECT *, coalesce(sum(len + CASE WHEN l_partkey % 4 = 0 THEN 100 ELSE 0 END) OVER (PARTITION BY file ORDER BY strip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)"
@@ -161,19 +174,40 @@ def strip_runs(spark, d):
     return Y.strip_runs(strips, "file", "strip", "off", "len")
 
 
-@query(f"WITH {HEADERS_SQL} SELECT file, max(page) AS last_page, count(*) AS pages, count(*) = max(page) - min(page) + 1 AS complete FROM h GROUP BY file")
+@query(f"""WITH {CHECKED_SQL}, v AS (SELECT *, page = 0 OR (off = predicted AND same_shape AND same_strips AND (next = 0 OR next = off + stride) AND coalesce(pre = off, false)) AS valid, page > 0 AND pre <> off AS broken FROM c)
+        SELECT file, count(*) AS stored, coalesce(min(page) FILTER (WHERE broken), count(*)) AS walked, coalesce(min(page) FILTER (WHERE NOT valid), count(*)) AS predicted FROM v GROUP BY file""")
 def page_counts(spark, d):
-    """I10, I11, I19, I20."""
-    n = F.count("*")
-    return _headers(spark, d).groupBy("file").agg(F.max("page").alias("last_page"), n.alias("pages"), (n == F.max("page") - F.min("page") + 1).alias("complete"))
+    """Pages that the chain of pointers reaches, and those that stand where prediction puts them."""
+    return Y.page_counts(_headers(spark, d))
+
+
+PAGES_SQL = """p AS (SELECT p_partkey, p_size AS w, 1 + p_partkey % 9 AS h, [8, 16, 32, 1, 16][p_partkey % 5 + 1] AS bits, [1, 3, 4, 2, 1, 1][p_partkey % 6 + 1] AS spp, CASE WHEN p_partkey % 5 = 2 THEN 3 WHEN p_partkey % 11 = 0 THEN 2 ELSE 1 END AS kind,
+    p_partkey % 19 = 0 AS mixed, CASE WHEN p_partkey % 13 = 0 THEN 5 ELSE 1 END AS compression, CASE WHEN p_partkey % 23 = 0 THEN 2 ELSE 1 END AS predictor, CASE WHEN p_partkey % 17 = 0 THEN 2 ELSE 1 END AS planar, p_partkey % 4 AS photometric, p_partkey % 29 = 0 AS tiled, CASE WHEN p_partkey % 31 = 0 THEN 7 ELSE 0 END AS padding FROM part)"""
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'pages are tiled' WHEN p_size % 5 = 0 THEN 'pages are compressed' WHEN p_size % 3 = 0 THEN 'strip data does not match the page size' END AS reason FROM part")
+@query(f"""WITH {PAGES_SQL} SELECT p_partkey, CASE WHEN tiled THEN 'stored in tiles' WHEN compression <> 1 THEN 'compressed' WHEN predictor <> 1 THEN 'differenced by a predictor' WHEN planar <> 1 THEN 'channels stored apart' WHEN mixed THEN 'channels of several depths'
+        WHEN photometric NOT IN (1, 2) THEN 'colours of another kind' WHEN spp NOT IN (1, 3, 4) THEN 'no such number of channels' WHEN NOT (bits IN (8, 16, 32) AND kind = 1 OR bits = 32 AND kind = 3) THEN 'no such sample type' WHEN padding > 0 THEN 'strips hold other than the pixels' END AS reason FROM p""")
 def raw_decodable(spark, d):
-    """I14, I15, I17, M18."""
-    s = F.col("p_size")
-    reason = Y.raw_reason(F.lit(16), F.lit(1), F.when(s % 5 == 0, 5).otherwise(1), F.lit(1), F.lit(1), F.lit(1), s % 7 == 0, F.array(s.cast("long") * 20, F.when(s % 3 == 0, 1).otherwise(0).cast("long")), s, F.lit(10))
-    return V.table(spark, d, "part").select("p_partkey", reason.alias("reason"))
+    """Why a page's strips aren't its pixels, or null if they are."""
+    k, pick = F.col("p_partkey"), lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    bits, spp = pick((8, 16, 32, 1, 16), k % 5), pick((1, 3, 4, 2, 1, 1), k % 6)
+    mixed, h = k % 19 == 0, (1 + k % 9).cast("long")
+    depths = F.when(mixed, F.array(bits, F.lit(99))).otherwise(F.array_repeat(bits, spp))
+    row = F.col("p_size") * spp * (bits / 8).cast("long")
+    page = {
+        "tiled": k % 29 == 0,
+        "compression": F.when(k % 13 == 0, 5).otherwise(1),
+        "predictor": F.when(k % 23 == 0, 2).otherwise(1),
+        "planar": F.when(k % 17 == 0, 2).otherwise(1),
+        "depths": depths,
+        "photometric": k % 4,
+        "spp": spp,
+        "sample_format": F.when(k % 5 == 2, 3).when(k % 11 == 0, 2).otherwise(1),
+        "strip_counts": F.array(row * (h - 1), row + F.when(k % 31 == 0, 7).otherwise(0)),
+        "w": F.col("p_size"),
+        "h": h,
+    }
+    return V.table(spark, d, "part").select("p_partkey", Y.raw_reason(page).alias("reason"))
 
 
 @query("WITH k AS (SELECT user_id AS media_id, CAST(event_id % 60 AS INTEGER) AS idx FROM events), u AS (SELECT DISTINCT * FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY idx) - 1 AS rank FROM u) SELECT media_id, CAST(sum(CASE WHEN idx = rank THEN 1 ELSE 0 END) AS BIGINT) AS length FROM r GROUP BY media_id")
@@ -189,6 +223,7 @@ EDGES_SQL = "edges AS (SELECT n_nationkey AS node, n_nationkey // 2 AS source FR
 
 
 def _edges(spark, d):
+    """Each nation's node is computed from the nodes of half and a third of its number."""
     k = F.col("n_nationkey")
     n = V.table(spark, d, "nation")
     half = n.filter(k > 0).select(k.alias("node"), F.floor(k / 2).cast("int").alias("source"))
@@ -213,7 +248,7 @@ def compute_sources_eligible(spark, d):
 
 @query("WITH r AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN 0 ELSE 1 END AS free, CAST(value * 100 AS BIGINT) AS bytes FROM events), s AS (SELECT *, sum(bytes) OVER (PARTITION BY user_id ORDER BY free, event_id DESC ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT event_id, run <= 200000 OR free = 0 AS kept FROM s")
 def lru_evict(spark, d):
-    """The most recent within a budget, protected ones first."""
+    """The most recent within a budget, protected ones first."""
     rows = V.table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("bytes"))
     return L.keep_recent(rows, "user_id", "event_id", "bytes", 200_000, F.col("event_id") % 50 == 0).select("event_id", "kept")
 
@@ -255,7 +290,7 @@ def lock_step(spark, d):
 
 @query("SELECT p_partkey, greatest(least(800.0::DOUBLE / p_size, 600.0::DOUBLE / (p_size % 7 + 1)), 0.0001) AS zoom, CASE WHEN p_size / 10.0::DOUBLE >= 1 THEN 1 ELSE CAST(floor(10.0::DOUBLE / p_size) AS INTEGER) END AS step FROM part")
 def view_fit(spark, d):
-    """F21, F22, F34."""
+    """F21, F34."""
     s = F.col("p_size")
     zoom = G.fit_zoom(F.lit(800.0), F.lit(600.0), s, s % 7 + 1)
     return V.table(spark, d, "part").select("p_partkey", zoom.alias("zoom"), G.decimation(s / 10.0).alias("step"))
@@ -263,7 +298,7 @@ def view_fit(spark, d):
 
 @query("SELECT c_custkey, round(50 + (x - 50) * cos(a) - (y - 40) * sin(a), 6) AS rx, round(40 + (x - 50) * sin(a) + (y - 40) * cos(a), 6) AS ry FROM (SELECT c_custkey, c_nationkey * 4.0::DOUBLE AS x, c_custkey % 80 * 1.0::DOUBLE AS y, radians(c_nationkey * 15.0::DOUBLE) AS a FROM customer)")
 def rotate_points(spark, d):
-    """F23 to F26."""
+    """F24."""
     x, y = G.rotate(F.col("c_nationkey") * 4.0, F.col("c_custkey") % 80 * 1.0, F.lit(50.0), F.lit(40.0), F.col("c_nationkey") * 15.0)
     return V.table(spark, d, "customer").select("c_custkey", F.round(x, 6).alias("rx"), F.round(y, 6).alias("ry"))
 
@@ -283,7 +318,7 @@ def segment_distance(spark, d):
 
 @query("WITH p AS (SELECT p_partkey, p_size * 700 AS w, p_size * 500 AS h FROM part), l AS (SELECT *, unnest(range(0, 9)) AS k FROM p), s AS (SELECT *, CAST(greatest(1, ceil(w / (1 << k)::DOUBLE)) AS BIGINT) * CAST(greatest(1, ceil(h / (1 << k)::DOUBLE)) AS BIGINT) AS px FROM l) SELECT p_partkey, CAST(coalesce(min(k) FILTER (WHERE px <= 32000000), 8) AS INTEGER) AS level FROM s GROUP BY p_partkey")
 def resolution_level(spark, d):
-    """S15, S16, T24."""
+    """S15, S16."""
     s = F.col("p_size")
     return V.table(spark, d, "part").select("p_partkey", G.resolution_level(s * 700, s * 500, F.lit(32_000_000)).alias("level"))
 
@@ -343,7 +378,7 @@ def locate_pane(spark, d):
 
 @query(f"WITH {FRAMES_SQL}, ab AS (SELECT a.media_id, a.frame_idx, a.samples AS a, b.samples AS b FROM f a JOIN f b ON a.media_id = b.media_id AND b.frame_idx = a.frame_idx + 1) SELECT media_id, frame_idx, CAST(pos % 8 AS INTEGER) AS x, CAST(pos // 8 AS INTEGER) AS y, CASE WHEN pos % 8 < 8 * 0.4 THEN a[pos + 1] ELSE b[pos + 1] END AS v FROM (SELECT *, unnest(range(0, 64)) AS pos FROM ab)")
 def ab_compose(spark, d):
-    """A wipe between two panes."""
+    """a wipe between two panes."""
     frames = V.embedding_frames(spark, d)
     a = frames.select("media_id", "frame_idx", F.col("samples").alias("a"))
     b = frames.select("media_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("samples").alias("b"))
@@ -354,13 +389,13 @@ def ab_compose(spark, d):
 
 @query(f"WITH {GRID_SQL} SELECT plan, CAST(max(\"left\" + w) AS BIGINT) AS width, CAST(max(top + h) AS BIGINT) AS height, count(*) AS panes FROM grid GROUP BY plan")
 def canvas_size(spark, d):
-    """K09, K10, M62."""
+    """K10, M62 for grids."""
     return _grid(spark, d).groupBy("plan").agg(F.max(F.col("left") + F.col("w")).alias("width"), F.max(F.col("top") + F.col("h")).alias("height"), F.count("*").alias("panes"))
 
 
 @query(f"WITH {PANES_SQL}, corners AS (SELECT plan, pane, w, h, unnest([0, 20, 0, 20]) AS cx, unnest([0, 0, 12, 12]) AS cy FROM panes), mapped AS (SELECT plan, pane, w, h, w / 2.0::DOUBLE + (cx - 10) * 0.5::DOUBLE AS mx, h / 2.0::DOUBLE + (cy - 6) * 0.5::DOUBLE AS my FROM corners) SELECT plan, pane, CAST(greatest(0, floor(min(mx)) - 1) AS INTEGER) AS x0, CAST(greatest(0, floor(min(my)) - 1) AS INTEGER) AS y0, CAST(least(max(w), ceil(max(mx)) + 1) AS INTEGER) AS x1, CAST(least(max(h), ceil(max(my)) + 1) AS INTEGER) AS y1 FROM mapped GROUP BY plan, pane")
 def pane_boxes(spark, d):
-    """The source box of an output cell, a pixel wider, inside the frame."""
+    """The source box of an output cell, a pixel wider, inside the frame."""
     corner = F.explode(F.array(*(F.struct(F.lit(x).alias("cx"), F.lit(y).alias("cy")) for x in (0, 20) for y in (0, 12))))
     m = _panes(spark, d).select("plan", "pane", "w", "h", corner.alias("c")).withColumns({"mx": F.col("w") / 2.0 + (F.col("c.cx") - 10) * 0.5, "my": F.col("h") / 2.0 + (F.col("c.cy") - 6) * 0.5})
     low = lambda c: F.greatest(F.lit(0), F.floor(F.min(c)) - 1).cast("int")
@@ -368,18 +403,3 @@ def pane_boxes(spark, d):
     return m.groupBy("plan", "pane").agg(low("mx").alias("x0"), low("my").alias("y0"), high("mx", "w").alias("x1"), high("my", "h").alias("y1"))
 
 
-@query("SELECT n_nationkey AS pane, CASE WHEN n_nationkey % 2 = 0 THEN 'linear' ELSE 'mask' END AS tone, CASE WHEN n_nationkey % 2 = 0 THEN 0.01::DOUBLE ELSE n_regionkey * 0.5::DOUBLE END AS clip FROM nation")
-def effective_settings(spark, d):
-    """Synced panes take the shared settings, others their own."""
-    shared = spark.range(1).select(F.lit("linear").alias("shared_tone"), F.lit(0.01).alias("shared_clip"))
-    own = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("pane"), (F.col("n_nationkey") % 2 == 0).alias("sync"), F.lit("mask").alias("own_tone"), (F.col("n_regionkey") * 0.5).alias("own_clip"))
-    both = own.join(F.broadcast(shared), F.lit(True))
-    pick = lambda n: F.when(F.col("sync"), F.col(f"shared_{n}")).otherwise(F.col(f"own_{n}")).alias(n)
-    return both.select("pane", pick("tone"), pick("clip"))
-
-
-@query("SELECT n_regionkey AS control, coalesce(min(n_nationkey) FILTER (WHERE n_nationkey % 3 > 0), n_regionkey) AS driver, count(*) FILTER (WHERE n_nationkey % 4 > 0) AS visible FROM nation GROUP BY n_regionkey")
-def loop_driver(spark, d):
-    """The first sequence drives where the control is a still."""
-    k = F.col("n_nationkey")
-    return V.table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("control")).agg(F.coalesce(F.min(F.when(k % 3 > 0, k)), F.col("n_regionkey")).alias("driver"), F.count(F.when(k % 4 > 0, 1)).alias("visible"))

@@ -2,12 +2,13 @@
 
 Files are listed and read by Spark's ``binaryFile`` reader, so any store works.
 Decoders are looked up by extension; one that is missing, or fails, makes a row
-with the reason instead of failing the task.
+with the reason instead of failing the task, after the frames before it. A file's frames are
+handed on one at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,13 @@ from rasterlake.sources import png, tiff
 from rasterlake.sources.tiff import FRAME_FIELDS
 
 
-def _tiff_pages(data: bytes) -> list[dict]:
+def _tiff_pages(data: bytes) -> Iterator[dict]:
     file = tiff.Tiff(lambda at, n: data[at : at + n])
-    return [file.decode(page) for page in file.headers()]
+    return map(file.decode, file.headers())
 
 
-#: Decoders by extension: bytes to frames. More can be added before a read.
-DECODERS: dict[str, Callable[[bytes], list[dict]]] = {"tif": _tiff_pages, "tiff": _tiff_pages, "png": lambda data: [png.decode(data)]}
+#: Decoders by extension: bytes to frames, one after another. More can be added before a read.
+DECODERS: dict[str, Callable[[bytes], Iterable[dict]]] = {"tif": _tiff_pages, "tiff": _tiff_pages, "png": lambda data: [png.decode(data)]}
 
 _NONE = {"frame_idx": None, "w": None, "h": None, "channels": None, "dtype": None, "is_mask": None, "samples": None}
 _SCHEMA = pa.schema([("media_id", pa.string()), ("frame_idx", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("channels", pa.int32()), ("dtype", pa.string()), ("is_mask", pa.bool_()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])
@@ -38,10 +39,10 @@ def _decode(decoders: dict) -> Callable:
                 try:
                     if ext not in decoders:
                         raise ValueError(f"no decoder for {ext}")
-                    rows = [{"media_id": path, "frame_idx": k, "error": None, **frame} for k, frame in enumerate(decoders[ext](content))]
+                    for k, frame in enumerate(decoders[ext](content)):
+                        yield pa.RecordBatch.from_pylist([{"media_id": path, "frame_idx": k, "error": None, **frame}], _SCHEMA)
                 except (ValueError, KeyError, OSError) as reason:
-                    rows = [{"media_id": path, **_NONE, "error": str(reason)}]
-                yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                    yield pa.RecordBatch.from_pylist([{"media_id": path, **_NONE, "error": str(reason)}], _SCHEMA)
 
     return run
 

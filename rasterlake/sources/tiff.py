@@ -21,7 +21,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 FRAME_FIELDS = "media_id string, frame_idx int, w int, h int, channels int, dtype string, is_mask boolean, samples array<float>"
 HEADER_FIELDS = "media_id string, frame_idx int, off long, next_off long, w int, h int, bits int, spp int, compression int, photometric int, sample_format int, planar int, predictor int, tiled boolean, strip_offsets array<long>, strip_counts array<long>"
 PAGES_PER_PARTITION = 64
-MAX_PAGES = 100_000
 
 #: TIFF tags that are read.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SPP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 279, 284, 317, 322, 339
@@ -55,10 +54,10 @@ class Tiff:
         self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
         kind = struct.unpack(f"{self.order}H", head[2:4])[0] if self.order and len(head) >= 8 else 0
         if kind not in (42, 43):
-            raise ValueError("not a TIFF file")
+            raise ValueError("no TIFF signature")
         self.big = kind == 43
         if self.big and struct.unpack(f"{self.order}HH", head[4:8]) != (8, 0):
-            raise ValueError("malformed BigTIFF header")
+            raise ValueError("BigTIFF offsets of an unknown size")
         self.first = struct.unpack(f"{self.order}{'Q' if self.big else 'I'}", head[8:16] if self.big else head[4:8])[0]
 
     def header(self, off: int) -> Header | None:
@@ -84,12 +83,13 @@ class Tiff:
         return Header(off, struct.unpack(f"{self.order}{pointer}", body[n * entry_size :])[0], tags)
 
     def headers(self) -> Iterator[Header]:
+        """Every page by its pointer; a chain that breaks off or runs in a circle is an error, after the pages before it."""
         off, seen = self.first, set()
-        while off and off not in seen and len(seen) < MAX_PAGES:
-            seen.add(off)
-            page = self.header(off)
+        while off:
+            page = None if off in seen else self.header(off)
             if page is None:
-                return
+                raise ValueError(f"the chain of pages ends wrongly after {len(seen)}")
+            seen.add(off)
             yield page
             off = page.next_off
 

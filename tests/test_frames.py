@@ -5,13 +5,16 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rasterlake import queries
 from rasterlake.functions import geometry as G
 from rasterlake.functions import tokens as K
 from rasterlake.functions import tone as T
 from rasterlake.operators import frames as R
 from rasterlake.operators import layout as Y
+from rasterlake.operators import packed as P
 from rasterlake.operators import stats as S
 from rasterlake.operators import timeline as L
+from rasterlake.plans import views as V
 
 NAN, INF = float("nan"), float("inf")
 
@@ -179,8 +182,52 @@ def test_levels_and_sizes(spark):
 
 
 def test_raw_reason(spark):
-    reason = lambda **k: one(spark, Y.raw_reason(**{n: F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)) for n, v in ({"bits": 16, "spp": 1, "compression": 1, "predictor": 1, "planar": 1, "photometric": 1, "tiled": False, "strip_counts": [8], "w": 2, "h": 2} | k).items()}))[0]
-    assert reason(strip_counts=[4, 4]) is None and "tiled" in reason(tiled=True) and "compressed" in reason(compression=5) and "size" in reason(strip_counts=[7])
+    fine = {"depths": [16], "spp": 1, "sample_format": 1, "compression": 1, "predictor": 1, "planar": 1, "photometric": 1, "tiled": False, "strip_counts": [8], "w": 2, "h": 2}
+    column = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    reason = lambda **k: one(spark, Y.raw_reason({n: column(v) for n, v in (fine | k).items()}))[0]
+    assert reason() is None and reason(depths=[32], sample_format=3, strip_counts=[8, 8]) is None
+    assert reason(depths=[8, 8, 8], spp=3, photometric=2, strip_counts=[12]) is None
+    broken = [{"tiled": True}, {"compression": 5}, {"predictor": 2}, {"planar": 2}, {"depths": [8, 16]}, {"photometric": 0}, {"spp": 2}, {"sample_format": 2}, {"depths": [1]}, {"strip_counts": [9]}]
+    assert [reason(**k) for k in broken] == ["stored in tiles", "compressed", "differenced by a predictor", "channels stored apart", "channels of several depths", "colours of another kind", "no such number of channels", "no such sample type", "no such sample type", "strips hold other than the pixels"]
+
+
+def test_numbering_in_parts(spark):
+    rows = spark.createDataFrame([(1 if k % 3 else 2, k * 37 % 1000 // 2, k) for k in range(1000)] + [(3, 5, 5), (4, None, 7)], "m int, at int, id int")
+    want = {tuple(r) for r in V.numbered(rows, "m", "at", "id").collect()}
+    for most in (0, 10, 400, 5000):
+        assert {tuple(r) for r in V.numbered(rows, "m", "at", "id", split_rows=most).collect()} == want
+
+
+def test_packed_frames(spark):
+    frame = spark.createDataFrame([([float(k) for k in range(12)], [NAN, 2.0, -1.0, NAN]), ([NAN] * 12, [INF, -INF, 0.0, 0.0])], "samples array<float>, odd array<float>")
+    cut, small = P.crop(F.col("samples"), 4, 1, 1, 3, 3), P.decimate(F.col("samples"), 4, 2)
+    assert frame.select(cut, small).first() == ([5, 6, 9, 10], [0, 2, 8, 10])
+    assert [tuple(r) for r in frame.select(*P.extent(F.col("odd")), *P.extent(F.col("samples"), 9.0)).collect()] == [(-1, 2, 0, 11), (-INF, INF, 0, 9)]
+    assert P.region_bounds(2.4, 1.0, 5.2, 4.5, 8, 8) == (2, 1, 6, 5) and P.region_bounds(9, 9, 12, 12, 8, 8) is None and P.region_bounds(3, 3, 3, 5, 8, 8) is None
+    moments = frame.select(*(c.alias(n) for n, c in P.moments(F.col("odd")).items())).first()
+    assert (moments.n, moments.lo, moments.hi, moments["mean"]) == (4, -1, 2, 0.25)
+    box = frame.select(*(c.alias(n) for n, c in P.bounding_box(F.col("samples"), 4, lambda v: (v > 4) & (v < 11)).items())).collect()
+    assert tuple(box[0]) == (0, 1, 3, 2) and tuple(box[1]) == (None,) * 4
+    line = frame.select(P.line(F.col("samples"), 4, 3, (0.0, 0.0, 6.0, 0.0)).alias("l")).first().l
+    assert [p.v for p in line[:4]] == [0, 1, 2, 3] and all(math.isnan(p.v) for p in line[4:])
+
+
+def test_bounds_by_region_and_clip(spark):
+    frame = spark.createDataFrame([(1, [float(k) for k in range(100)])], "f int, samples array<float>")
+    bounds = lambda *k: tuple(S.frame_bounds(frame, ["f"], 10, 10, *k).select("lo", "hi").first())
+    region = (0.0, 5.0, 10.0, 10.0)
+    assert bounds() == (0, 99) and bounds(None, region) == (50, 99)
+    assert bounds(None, (20.0, 0.0, 30.0, 5.0)) == (0, 99) and bounds(10.0, (20.0, 0.0, 30.0, 5.0)) == bounds(10.0)
+    lo, hi = bounds(10.0)
+    assert 9 <= lo <= 11 and 88 <= hi <= 90.1
+    lo, hi = bounds(10.0, region)
+    assert 54 <= lo <= 56 and 93 <= hi <= 95
+
+
+def test_plans_of_frame_queries_have_one_exchange(spark, tiny):
+    for name in ("frame_extent", "tone_map_u8", "colormap_turbo", "crop_region", "decimate_step", "line_profile", "pixel_readout", "content_bbox"):
+        plan = queries.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 1 and "Join" not in plan, name
 
 
 @pytest.mark.parametrize("percent", [0.01, 5.0])

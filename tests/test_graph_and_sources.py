@@ -50,7 +50,26 @@ def test_tiff_headers_filter_and_errors(spark, tmp_path):
     assert [r.frame_idx for r in one] == [2] and one[0].samples[0] == 2000
     (tmp_path / "c.jp2").write_bytes(b"codec")
     loaded = files.read_frames(spark, str(tmp_path)).filter("media_id NOT LIKE '%jp2'").collect()
-    assert len(loaded) == 4 and [r.error for r in loaded if r.error] == ["not a TIFF file"]
+    assert len(loaded) == 4 and [r.error for r in loaded if r.error] == ["no TIFF signature"]
+
+
+def test_broken_page_chains_are_errors(spark, tmp_path):
+    whole = tiff.encode(pages(3))
+    (tmp_path / "short.tif").write_bytes(whole[: len(whole) - 100])
+    got = files.read_frames(spark, str(tmp_path)).collect()
+    assert [r.frame_idx for r in got] == [0, 1, None] and got[-1].error
+    file = tiff.Tiff(lambda at, n: whole[at : at + n])
+    loop = bytearray(whole)
+    last = list(file.headers())[-1]
+    at = last.off + 2 + 12 * len(last.tags)
+    loop[at : at + 4] = file.first.to_bytes(4, "little")
+    with pytest.raises(ValueError, match="after 3"):
+        list(tiff.Tiff(lambda at, n: bytes(loop[at : at + n])).headers())
+
+
+def test_reachable_of_diamonds(spark):
+    edges = spark.createDataFrame([(k + step, k) for k in range(40) for step in (1, 2)], "node int, source int")
+    assert reachable(spark, edges).count() == 41 * 42 // 2 - 1
 
 
 def test_strips_merge_into_runs():
