@@ -66,10 +66,10 @@ SKETCH_PARTS = 64
 PIVOT_KINDS = 4
 #: A bucket of so many times the mean and so many rows is that of a hot column.
 HOT, HOT_ROWS = 16, 1000
-#: Rows outside a column's largest component that are still compared directly.
-CROWD = 8
+#: Rows outside a column's largest component that are still compared directly, and rows of short prefixes in a list of differences.
+CROWD, FIRSTS = 32, 4
 #: Comparisons, in all or for each row, that lists of differences may cost before they are told apart further.
-COMPARED, COMPARED_PER_ROW = 200_000, 16
+COMPARED, COMPARED_PER_ROW = 20_000, 4
 #: So few links are joined in one task; more take the distributed rounds.
 LOCAL_LINKS = 10_000
 #: What a list has in common meets its rows in so many parts.
@@ -282,7 +282,7 @@ def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[D
     lists = staged(lists.filter("firsts > 0 AND low <> high").select("list", "token", "rows", "firsts"), "lists")
     cost = lists.agg(F.coalesce(F.sum(F.col("firsts") * F.col("rows")), F.lit(0)).alias("all"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     last = cost["all"] <= max(COMPARED, COMPARED_PER_ROW * cost["rows"])
-    few = lists if last else lists.filter(F.col("firsts") <= CROWD)
+    few = lists if last else lists.filter(F.col("firsts") <= FIRSTS)
     side = lambda c: [F.col(k).alias(f"{c}_{k}") for k in ("n", "d", "behind", "component")]
     ours = placed.join(few.select("list", "token"), ["list", "token"])
     xs = ours.filter("first").select("list", "token", F.col("node").alias("x"), *side("x"))
@@ -295,7 +295,7 @@ def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[D
     for c in "xy":
         met = met.join(differing.select("list", F.col("node").alias(c), F.col("differ").alias(f"{c}_differ")), ["list", c])
     links = _ordered(met.filter(2 * F.size(F.array_intersect("x_differ", "y_differ")) >= F.col("to_share")))
-    crowded = placed.join(lists.filter(F.col("firsts") > CROWD), ["list", "token"]).select("list", "node", F.xxhash64("list", "token").alias("part"))
+    crowded = placed.join(lists.filter(F.col("firsts") > FIRSTS), ["list", "token"]).select("list", "node", F.xxhash64("list", "token").alias("part"))
     return links, None if last else staged(crowded, "crowded")
 
 

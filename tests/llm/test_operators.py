@@ -318,9 +318,9 @@ def test_chat_odd_tables(spark):
 # --- 8 near duplicates -------------------------------------------------------
 
 
-@pytest.mark.parametrize("crowd,compared,local", [(8, 200_000, 10_000), (1, 0, 0)])
+@pytest.mark.parametrize("crowd,compared,local", [(32, 20_000, 10_000), (1, 0, 0)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, crowd, compared, local):
-    for name, value in (("CROWD", crowd), ("COMPARED", compared), ("COMPARED_PER_ROW", 2 if compared == 0 else 16), ("LOCAL_LINKS", local), ("HOT_ROWS", 20 if crowd == 1 else 1000)):
+    for name, value in (("CROWD", crowd), ("COMPARED", compared), ("COMPARED_PER_ROW", 0 if compared == 0 else 4), ("FIRSTS", 1 if crowd == 1 else 4), ("LOCAL_LINKS", local), ("HOT_ROWS", 20 if crowd == 1 else 1000)):
         monkeypatch.setattr(near, name, value)
     rng = random.Random(crowd)
     docs, base = [], prose(1, 120).split()
@@ -340,6 +340,7 @@ def test_second_pass_is_linear_in_a_group(spark, monkeypatch):
     counted, links = [], near._links
     monkeypatch.setattr(near, "_links", lambda pairs, *rest: counted.append(pairs.count()) or links(pairs, *rest))
     monkeypatch.setattr(near, "COMPARED", 0)
+    monkeypatch.setattr(near, "CROWD", 8)
     made = {}
     for m in (150, 300):
         rng, base, docs = random.Random(5), prose(1, 120).split(), []
