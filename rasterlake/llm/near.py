@@ -214,9 +214,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, per
     total = F.aggregate("a_profile", F.lit(0), lambda x, y: x + y) + F.aggregate("b_profile", F.lit(0), lambda x, y: x + y)
     bounded = _of_pairs(pairs, profiles, "profile").select("a", "b", bound.alias("bound"), total.alias("total"))
     possible = staged(bounded.filter(_reaches(F.col("bound"), F.col("total"), percent)).select("a", "b", "total"), "pairs")
-    sets = _sets_of(_ends(possible), 2 * possible.count(), nodes, texts, ngram)
+    n = possible.count()
+    sets = _sets_of(_ends(possible), 2 * n, nodes, texts, ngram)
     left, right = (sets.select(F.col("node").alias(c), "block", F.col("grams").alias(f"{c}_grams")) for c in "ab")
-    product = possible.join(left, "a").join(right, ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
+    product = left.join(small(possible, n), "a").join(right, ["b", "block"]).select("a", "b", "total", F.size(F.array_intersect("a_grams", "b_grams")).alias("overlap"))
     counted = product.groupBy("a", "b", "total").agg(F.sum("overlap").alias("overlap"))
     return staged(counted.filter(_reaches(F.col("overlap"), F.col("total"), percent)).select("a", "b"), "links")
 
@@ -364,7 +365,8 @@ def _block(rows: DataFrame) -> DataFrame:
     draw = F.xxhash64("node", F.pmod("token", F.lit(PIVOT_KINDS)))
     column = Window.partitionBy("token")
     pivot = F.first(F.struct("node", "n")).over(column.orderBy("draw", "node"))
-    cold = rows.select("node", "n", F.explode("prefix").alias("token")).withColumn("draw", draw)
+    # the draws are made where the columns meet, so they aren't shuffled
+    cold = rows.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token").withColumn("draw", draw).withColumn("n", F.col("n").cast("long"))
     cold = cold.withColumns({"pivot": pivot, "low": F.min("node").over(column), "high": F.max("node").over(column)}).filter("low <> high")
     # copies of one set are one row before they meet, and a hot column is one row a task
     hot = staged(rows.select("node", "n", F.explode("hot").alias("token")).distinct(), "hot")
