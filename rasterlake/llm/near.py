@@ -267,16 +267,25 @@ def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[D
     The prefix of a row that meets one with as many differences or more is ``index`` long, the
     other one's is ``probe`` long; both leave out what no row of another component has.
     """
+    room = F.floor((100 - percent) * F.col("n") / percent)
     of = differing.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    each = of.select("list", "node", "n", F.size("differ").alias("d"), "component", F.explode("differ").alias("token"))
-    open_ = each.groupBy("list", "token").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "token", "rows")
-    shared = each.join(open_, ["list", "token"]).groupBy("list", "node", "n", "d", "component").agg(F.array_sort(F.collect_list(F.struct("rows", "token"))).alias("shared"))
+    of = of.select("list", "node", "n", F.size("differ").alias("d"), "component", room.alias("room"), "differ")
+    # at most ``room`` of a row's differences are not those of a row that it is linked to: in any order, one of the first room + 1 is
+    begin = of.select("list", "node", "component", F.explode(F.slice(F.array_sort("differ"), F.lit(1), (F.col("room") + 1).cast("int"))).alias("early"))
+    several = begin.groupBy("list", "early").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "early")
+    of = staged(of.join(begin.join(several, ["list", "early"]).select("list", "node").distinct(), ["list", "node"], "left_semi"), "differing")
+
+    each = of.select("list", "node", "n", "d", "component", "room", F.explode("differ").alias("token"))
+    # differences of the same rows, as those of one edit are, have the same mark and stand together; the first speaks for them
+    mark = F.bit_xor(F.xxhash64("node")).alias("mark")
+    open_ = each.groupBy("list", "token").agg(F.count("*").alias("rows"), mark, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "token", "rows", "mark")
+    shared = each.join(open_, ["list", "token"]).groupBy("list", "node", "n", "d", "component", "room").agg(F.array_sort(F.collect_list(F.struct("rows", "mark", "token"))).alias("shared"))
     alone = F.col("d") - F.size("shared")
-    room = F.floor((100 - percent) * F.col("n") / percent)
     length = lambda most: F.greatest(F.lit(0), F.least(F.size("shared"), (most + 1 - alone).cast("int")))
-    places = shared.withColumns({"index": length(F.floor(room / 2)), "probe": length(room), "left": F.size("shared")}).filter("probe > 0")
-    placed = places.select("list", "node", "n", "d", "component", "index", "left", F.posexplode(F.slice("shared", F.lit(1), F.col("probe"))).alias("rank", "of"))
-    placed = placed.select("list", "node", "n", "d", "component", F.col("of.token").alias("token"), (F.col("rank") < F.col("index")).alias("first"), (F.col("left") - F.col("rank")).alias("behind"))
+    places = shared.withColumns({"index": length(F.floor(F.col("room") / 2)), "probe": length(F.col("room")), "left": F.size("shared")}).filter("probe > 0")
+    ranked = F.transform(F.slice("shared", F.lit(1), F.col("probe")), lambda t, k: F.struct(t["token"].alias("token"), k.alias("rank"), ((k == 0) | (F.get("shared", k - 1)["mark"] != t["mark"])).alias("begins")))
+    placed = places.select("list", "node", "n", "d", "component", "index", "left", F.explode(F.filter(ranked, lambda t: t["begins"])).alias("of"))
+    placed = placed.select("list", "node", "n", "d", "component", F.col("of.token").alias("token"), (F.col("of.rank") < F.col("index")).alias("first"), (F.col("left") - F.col("of.rank")).alias("behind"))
     placed = staged(placed, "placed")
 
     lists = placed.groupBy("list", "token").agg(F.count("*").alias("rows"), F.count(F.when(F.col("first"), 1)).alias("firsts"), F.min("component").alias("low"), F.max("component").alias("high"))
