@@ -63,6 +63,8 @@ SKETCH_BITS = 21
 #: Blocks of columns whose sizes bound an overlap, and coarser ones in which overlaps are counted.
 COLUMN_BLOCKS, PRODUCT_BLOCKS = 256, 8
 SKETCH_PARTS = 64
+#: Text that a Python worker takes apart at once; its arrays are some fifty times as large.
+READ_BYTES = 1 << 18
 PIVOT_KINDS = 4
 #: A bucket of so many times the mean and so many rows is that of a hot column.
 HOT, HOT_ROWS = 16, 1000
@@ -96,7 +98,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarra
 def _sketch(ngram: int, bits: int, parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.int64)
-        for _, data, offsets in W.batches(rows):
+        for _, data, offsets in W.batches(rows, limit=READ_BYTES):
             grams, _ = _grams(data, offsets, ngram)
             counts += np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in np.split(np.minimum(counts, 2**16 - 1).astype("<u2"), parts)])], names=["part", "counts"])
@@ -131,7 +133,7 @@ def _prefixes(levels: Broadcast, ngram: int, bits: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, shift = levels.value, np.uint64(64 - bits)
         hot = max(4 * np.log2(1 + HOT * np.mean(2.0 ** (level / 4) - 1)), 4 * np.log2(1 + HOT_ROWS))
-        for batch, data, offsets in W.batches(rows):
+        for batch, data, offsets in W.batches(rows, limit=READ_BYTES):
             grams, bounds = _grams(data, offsets, ngram)
             sizes, nodes, profiles, prefixes, crowded = [], [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -157,7 +159,7 @@ def _blocks(ngram: int):
     """The columns of each row in every block of columns, empty blocks too."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in W.batches(rows):
+        for batch, data, offsets in W.batches(rows, limit=READ_BYTES):
             grams, bounds = _grams(data, offsets, ngram)
             out = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
