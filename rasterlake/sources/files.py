@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions.tokens import extension, is_loadable
-from rasterlake.sources import png, tiff
+from rasterlake.sources import png, sink, tiff
 from rasterlake.sources.tiff import FRAME_FIELDS
 
 
@@ -72,9 +72,7 @@ def _encode(kind: str) -> Callable:
                 if kind == "tif":
                     done.append(tiff.encode([image.astype(r["dtype"])]))
                 else:
-                    lo, hi = (0.0, 255.0) if r["dtype"] == "uint8" else (0.0, 65535.0) if r["dtype"] == "uint16" else (float(np.nanmin(image)), float(np.nanmax(image)))
-                    scale = np.float32(255 / (hi - lo)) if hi > lo else np.float32(0)
-                    done.append(png.encode(np.clip(np.nan_to_num((image - np.float32(lo)) * scale), 0, 255).astype(np.uint8)))
+                    done.append(png.encode(sink.shown(image.astype(r["dtype"]))))
             yield pa.RecordBatch.from_arrays([batch.column("media_id"), batch.column("frame_idx"), pa.array(done, pa.binary())], names=["media_id", "frame_idx", "content"])
 
     return run
