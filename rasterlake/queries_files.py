@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rasterlake.plans import views as V
 from rasterlake.plans.stage import shared_dir
 from rasterlake.queries import FRAMES_SQL, query
-from rasterlake.sources import sink
+from rasterlake.sources import files, sink
 
 
 def _through_files(frames, pages: int, compression: str, predictor: int):
@@ -70,3 +70,22 @@ def indexed_pages(spark, d):
     found = spark.read.format("tiff_frames").load(f"{path}/part-*/*.tif").filter(F.col("frame_idx") == 5)
     number = sink.number_of(F.col("media_id")) * 32 + F.col("frame_idx")
     return found.select(sink.media_of(F.col("media_id")).cast("int").alias("media_id"), number.cast("int").alias("frame_idx"), F.element_at("samples", 1).alias("first"), F.element_at("samples", 64).alias("last"))
+
+
+@query("SELECT vec_id, 16 AS pixels, 3 AS channels, true AS grey_kept, true AS close FROM embeddings")
+def jpeg_frames(spark, d):
+    """RGBA frames through JPEG files: their alpha goes, clear pixels turn white, and grey differs by 2 at most."""
+    frames = V.embedding_frames(spark, d)
+    grey = F.transform("samples", lambda x: F.floor(F.abs(x.cast("double")) * 400) % 256)
+    pixels = F.transform(F.slice(grey, 1, 16), lambda g: F.array(g, g, g, F.when(g > 20, 255).otherwise(0)).cast("array<float>"))
+    rgba = frames.select("media_id", "frame_idx", F.lit(4).alias("w"), F.lit(4).alias("h"), F.lit(4).alias("channels"), F.lit("uint8").alias("dtype"), F.flatten(pixels).alias("samples"))
+    path = f"{shared_dir(spark).rstrip('/')}/frames/{uuid.uuid4().hex}"
+    sink.write_frames(rgba, path, kind="jpg")
+    back = files.read_frames(spark, f"{path}/part-*").select(sink.media_of(F.col("media_id")).cast("int").alias("media_id"), sink.number_of(F.col("media_id")).cast("long").alias("frame_idx"), "channels", F.col("samples").alias("got"))
+    vectors = V.table(spark, d, "embeddings").select(F.col("label").alias("media_id"), "vec_id")
+    both = V.numbered(vectors, "media_id", "vec_id").join(rgba.select("media_id", "frame_idx", "samples"), ["media_id", "frame_idx"]).join(back, ["media_id", "frame_idx"])
+    place = F.sequence(F.lit(0), F.lit(15))
+    want = F.transform(place, lambda k: F.when(F.get("samples", k * 4 + 3) > 0, F.get("samples", k * 4)).otherwise(255))
+    close = F.forall(F.zip_with(want, F.transform(place, lambda k: F.get("got", k * 3)), lambda a, b: F.abs(a - b)), lambda e: e <= 2)
+    kept = F.forall(place, lambda k: (F.abs(F.get("got", k * 3) - F.get("got", k * 3 + 1)) <= 1) & (F.abs(F.get("got", k * 3) - F.get("got", k * 3 + 2)) <= 1))
+    return both.select("vec_id", F.size(place).alias("pixels"), "channels", kept.alias("grey_kept"), close.alias("close"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions.tokens import extension, is_loadable
-from rasterlake.sources import png, sink, tiff
+from rasterlake.sources import bmp, jpeg, png, sink, tiff
 from rasterlake.sources.tiff import FRAME_FIELDS
 
 
@@ -26,7 +26,7 @@ def _tiff_pages(data: bytes) -> Iterator[dict]:
 
 
 #: Decoders by extension: bytes to frames, one after another. More can be added before a read.
-DECODERS: dict[str, Callable[[bytes], Iterable[dict]]] = {"tif": _tiff_pages, "tiff": _tiff_pages, "png": lambda data: [png.decode(data)]}
+DECODERS: dict[str, Callable[[bytes], Iterable[dict]]] = {"tif": _tiff_pages, "tiff": _tiff_pages, "png": lambda data: [png.decode(data)], "bmp": lambda data: [bmp.decode(data)]} | dict.fromkeys(("jpg", "jpeg"), lambda data: [jpeg.decode(data)])
 
 _NONE = {"frame_idx": None, "w": None, "h": None, "channels": None, "dtype": None, "is_mask": None, "samples": None}
 _SCHEMA = pa.schema([("media_id", pa.string()), ("frame_idx", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("channels", pa.int32()), ("dtype", pa.string()), ("is_mask", pa.bool_()), ("samples", pa.list_(pa.float32())), ("error", pa.string())])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from rasterlake.sources import png, store, tiff
+from rasterlake.sources import jpeg, png, store, tiff
 
 COLUMNS = ("media_id", "frame_idx", "w", "h", "channels", "dtype", "samples")
 STAGED = "_staged"
@@ -55,6 +55,15 @@ def shown(values: np.ndarray) -> np.ndarray:
     return np.clip(np.nan_to_num((values.astype(np.float32) - np.float32(lo)) * scale), 0, 255).astype(np.uint8)
 
 
+def flattened(values: np.ndarray) -> np.ndarray:
+    """Without alpha: what is clear turns white."""
+    return np.where(values[:, :, 3:] > 0, values[:, :, :3], 255).astype(np.uint8) if values.shape[2] == 4 else values
+
+
+#: Files of one still: 8-bit samples to bytes.
+STILLS = {"png": png.encode, "jpg": lambda values: jpeg.encode(flattened(values), quality=100)}
+
+
 def file_name(media_id, number: int, kind: str) -> str:
     return f"{quote(str(media_id), safe='')}-{number:08d}.{kind}"
 
@@ -89,7 +98,7 @@ class PageStream:
 
 class FrameWriter(DataSourceWriter):
     def __init__(self, path: str, kind: str, pages: int, layout: tiff.Layout, overwrite: bool):
-        if kind not in ("tif", "png") or pages < 1 or (kind == "png" and pages > 1):
+        if (kind != "tif" and kind not in STILLS) or pages < 1 or (kind in STILLS and pages > 1):
             raise ValueError(f"no files of kind {kind} with {pages} pages")
         self.path, self.kind, self.pages, self.layout, self.overwrite, self.job = path, kind, pages, layout, overwrite, uuid.uuid4().hex
 
@@ -118,9 +127,9 @@ class FrameWriter(DataSourceWriter):
                     open_name = name
                 elif self.pages == 1:
                     raise ValueError(f"frame {row['frame_idx']} of {row['media_id']} comes more than once")
-                if self.kind == "png":
+                if self.kind in STILLS:
                     with files.open_output_stream(f"{folder}/{name}") as out:
-                        out.write(png.encode(shown(image(row))))
+                        out.write(STILLS[self.kind](shown(image(row))))
                     continue
                 stream = stream or PageStream(files.open_output_stream(f"{folder}/{name}"), self.layout)
                 stream.add(image(row))
