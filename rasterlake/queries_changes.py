@@ -16,6 +16,7 @@ from rasterlake.plans.graph import Node
 from rasterlake.plans.stage import shared_dir
 from rasterlake.queries import FRAMES_SQL, query
 from rasterlake.queries_layout import HEADERS_SQL, _headers
+from rasterlake.streaming import routing
 from rasterlake.streaming.refresh import Refresh
 
 
@@ -122,3 +123,20 @@ def refreshed_nodes(spark, d):
     refresh(px, 0)
     refresh(px.filter("input = 2 AND frame_idx % 10 = 0").withColumn("v", (F.col("v") + 1).cast("float")), 1)
     return refresh.results(spark).select("node", F.col("recomputed").alias("again"), "frame_idx", "y", "x", F.round(F.col("v").cast("double"), 3).alias("v"))
+
+
+@query("""WITH e AS (SELECT user_id AS media_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    broken AS (SELECT media_id, min(i) AS stop FROM e WHERE event_id % 101 = 0 GROUP BY media_id)
+    SELECT media_id, min(least(coalesce(stop, n), n)) AS length, min(CASE WHEN stop IS NULL THEN (n + 24) // 25 ELSE stop // 25 END) AS files_ended FROM e LEFT JOIN broken USING (media_id) GROUP BY media_id""")
+def routed_probes(spark, d):
+    """ST07, ST08, ST09, J11: probes in any order over files of 25 pages; an error holds a media's timeline where it is."""
+    events = V.event_timeline(spark, d)
+    count = events.groupBy("media_id").agg(F.count("*").alias("n"))
+    of, at = F.floor(F.col("frame_idx") / 25).cast("int"), (F.col("frame_idx") % 25).cast("int")
+    pages = events.join(count, "media_id").withColumns({"files": F.ceil(F.col("n") / 25).cast("int"), "file": of, "page": at})
+    kind = F.when(F.col("event_id") % 101 == 0, "error").when(F.col("event_id") % 2 == 0, "frame").otherwise("exists")
+    probes = pages.select("media_id", F.pmod(F.xxhash64("event_id"), F.lit(1 << 40)).alias("probe"), "file", "page", kind.alias("kind"), "files")
+    last = pages.groupBy("media_id", "file", "files").agg((F.max("page") + 1).alias("page"))
+    ends = last.select("media_id", F.pmod(F.xxhash64("media_id", "file"), F.lit(1 << 40)).alias("probe"), "file", "page", F.lit("end").alias("kind"), "files")
+    known = routing.summary(routing.settled(probes.unionByName(ends)))
+    return count.select("media_id").join(known, "media_id", "left").fillna(0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rasterlake.plans import views as V
 from rasterlake.plans.stage import shared_dir
 from rasterlake.queries import FRAMES_SQL, query
-from rasterlake.sources import files, sink
+from rasterlake.sources import avi, files, sink
 
 
 def _through_files(frames, pages: int, compression: str, predictor: int):
@@ -89,3 +89,18 @@ def jpeg_frames(spark, d):
     close = F.forall(F.zip_with(want, F.transform(place, lambda k: F.get("got", k * 3)), lambda a, b: F.abs(a - b)), lambda e: e <= 2)
     kept = F.forall(place, lambda k: (F.abs(F.get("got", k * 3) - F.get("got", k * 3 + 1)) <= 1) & (F.abs(F.get("got", k * 3) - F.get("got", k * 3 + 2)) <= 1))
     return both.select("vec_id", F.size(place).alias("pixels"), "channels", kept.alias("grey_kept"), close.alias("close"))
+
+
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT media_id, frame_idx, list_transform(samples, lambda x: floor(CAST(abs(x) AS DOUBLE) * 400) % 256) AS s FROM f)
+    SELECT media_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(frame_idx % 24 AS DOUBLE) / 12 AS seconds, 3 AS channels, list_sum(list_transform(s, lambda x, i: x * i)) AS weighed FROM g WHERE frame_idx % 24 < 20""")
+def video_ranges(spark, d):
+    """Frames through videos of 24 frames at 12 a second, all but the last four of each read back."""
+    frames = _frames(spark, d, lambda x: F.floor(F.abs(x.cast("double")) * 400) % 256, "uint8")
+    path = f"{shared_dir(spark).rstrip('/')}/frames/{uuid.uuid4().hex}"
+    sink.write_frames(frames, path, kind="avi", pages=24, rate=12)
+    avi.register(spark)
+    found = spark.read.format("avi_frames").load(f"{path}/part-*/*.avi").filter("frame_idx < 20")
+    red = F.filter("samples", lambda x, i: i % 3 == 0)
+    weighed = F.aggregate(F.transform(red, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    number = sink.number_of(F.col("media_id")) * 24 + F.col("frame_idx")
+    return found.select(sink.media_of(F.col("media_id")).cast("int").alias("media_id"), number.cast("int").alias("frame_idx"), "seconds", "channels", weighed.alias("weighed"))

@@ -8,8 +8,11 @@ one timeline. Each attempt of a task writes into a folder of its own under
 task, and removes the rest, so a task that is killed, retried or run twice leaves neither
 partial nor double files. An overwrite removes what stood there only after all tasks are done.
 
+``kind`` may also be ``png`` or ``jpg``, a still a file, and ``avi`` (``mjpg`` compressed), videos of
+up to n frames at ``option("rate")`` frames a second.
+
 ``write_frames`` arranges rows first: frames of one file come together and in order. No
-task holds more than the page at hand and the one before it. A row that has no samples
+task holds more than the page at hand and the one before it, or one video file's frames. A row that has no samples
 (a file that couldn't be read) fails the write.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from rasterlake.sources import jpeg, png, store, tiff
+from rasterlake.sources import avi, jpeg, png, store, tiff
 
 COLUMNS = ("media_id", "frame_idx", "w", "h", "channels", "dtype", "samples")
 STAGED = "_staged"
@@ -60,7 +63,8 @@ def flattened(values: np.ndarray) -> np.ndarray:
     return np.where(values[:, :, 3:] > 0, values[:, :, :3], 255).astype(np.uint8) if values.shape[2] == 4 else values
 
 
-#: Files of one still: 8-bit samples to bytes.
+#: Files of several frames by kind, with their extension, and of one still: 8-bit samples to bytes.
+VIDEOS = {"avi": "avi", "mjpg": "avi"}
 STILLS = {"png": png.encode, "jpg": lambda values: jpeg.encode(flattened(values), quality=100)}
 
 
@@ -97,10 +101,13 @@ class PageStream:
 
 
 class FrameWriter(DataSourceWriter):
-    def __init__(self, path: str, kind: str, pages: int, layout: tiff.Layout, overwrite: bool):
-        if (kind != "tif" and kind not in STILLS) or pages < 1 or (kind in STILLS and pages > 1):
+    def __init__(self, path: str, kind: str, pages: int, layout: tiff.Layout, overwrite: bool, rate: float = 25.0):
+        if kind not in {"tif", *VIDEOS, *STILLS} or pages < 1 or (kind in STILLS and pages > 1):
             raise ValueError(f"no files of kind {kind} with {pages} pages")
-        self.path, self.kind, self.pages, self.layout, self.overwrite, self.job = path, kind, pages, layout, overwrite, uuid.uuid4().hex
+        self.path, self.kind, self.pages, self.layout, self.overwrite, self.rate, self.job = path, kind, pages, layout, overwrite, rate, uuid.uuid4().hex
+
+    def _opened(self, out):
+        return avi.AviStream(out, self.rate, self.kind == "mjpg") if self.kind in VIDEOS else PageStream(out, self.layout)
 
     def _staged(self) -> str:
         return f"{store.opened(self.path)[1].rstrip('/')}/{STAGED}/{self.job}"
@@ -114,7 +121,7 @@ class FrameWriter(DataSourceWriter):
         try:
             for row in iterator:
                 number = row["frame_idx"] // self.pages
-                name = file_name(row["media_id"], number, self.kind)
+                name = file_name(row["media_id"], number, VIDEOS.get(self.kind, self.kind))
                 if name != open_name:
                     if stream:
                         stream.close()
@@ -131,8 +138,8 @@ class FrameWriter(DataSourceWriter):
                     with files.open_output_stream(f"{folder}/{name}") as out:
                         out.write(STILLS[self.kind](shown(image(row))))
                     continue
-                stream = stream or PageStream(files.open_output_stream(f"{folder}/{name}"), self.layout)
-                stream.add(image(row))
+                stream = stream or self._opened(files.open_output_stream(f"{folder}/{name}"))
+                stream.add(shown(image(row)) if self.kind in VIDEOS else image(row))
             if stream:
                 stream.close()
         except BaseException:
@@ -179,21 +186,21 @@ class FrameFiles(DataSource):
         if missing:
             raise ValueError(f"frames lack {', '.join(missing)}")
         layout = tiff.Layout(big=str(self.options.get("big", "false")).lower() == "true", compression=self.options.get("compression", "none"), predictor=int(self.options.get("predictor", "1")))
-        return FrameWriter(self.options["path"], self.options.get("kind", "tif"), int(self.options.get("pages", "1")), layout, overwrite)
+        return FrameWriter(self.options["path"], self.options.get("kind", "tif"), int(self.options.get("pages", "1")), layout, overwrite, float(self.options.get("rate", "25")))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FrameFiles)
 
 
-def write_frames(frames: DataFrame, path: str, kind: str = "tif", pages: int = 1, compression: str = "none", predictor: int = 1, mode: str = "append") -> None:
+def write_frames(frames: DataFrame, path: str, kind: str = "tif", pages: int = 1, compression: str = "none", predictor: int = 1, mode: str = "append", rate: float = 25.0) -> None:
     """Frames into files below ``path``; rows of a file are brought together first where it holds several."""
     register(frames.sparkSession)
     rows = frames.select(*COLUMNS)
     if pages > 1:
         number = F.floor(F.col("frame_idx") / pages)
         rows = rows.repartition("media_id", number).sortWithinPartitions("media_id", "frame_idx")
-    rows.write.format("frame_files").option("kind", kind).option("pages", pages).option("compression", compression).option("predictor", predictor).mode(mode).save(path)
+    rows.write.format("frame_files").option("kind", kind).option("pages", pages).option("compression", compression).option("predictor", predictor).option("rate", rate).mode(mode).save(path)
 
 
 def media_of(path: Column) -> Column:
