@@ -35,6 +35,12 @@ def palette_column(name: str, index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(r << 16 | g << 8 | b) for r, g, b in palette(name))), index + 1)
 
 
+def packed_abgr(rgb: Column) -> Column:
+    """A 24-bit colour as one opaque number of alpha, blue, green and red bytes."""
+    red, green, blue = F.shiftright(rgb, 16), F.shiftright(rgb, 8).bitwiseAND(255), rgb.bitwiseAND(255)
+    return F.lit(0xFF000000) + F.shiftleft(blue, 16) + F.shiftleft(green, 8) + red
+
+
 def linear(s: Column, lo: Column, hi: Column, top: int = 255) -> Column:
     """The linear window to 0..top in single precision; truncates, NaN is 0, a flat window maps all to 0."""
     s, lo, hi = (c.cast("float") for c in (s, lo, hi))

@@ -62,8 +62,10 @@ def compose(frames: DataFrame, panes: DataFrame, canvas: tuple[float, float], si
     both = frames.join(places.join(pins, ["plan", "pane"]), "media_id")
     at = lambda k: F.coalesce(f"pin_{k}", k)
     measured = F.filter("samples", lambda _, i: (i % w >= at("x0")) & (i % w < at("x1")) & (F.floor(i / w) >= at("y0")) & (F.floor(i / w) < at("y1")))
-    lo, hi = P.extent(measured)
-    px = both.select("plan", "frame_idx", "samples", "masked", lo.alias("lo"), hi.alias("hi"), F.inline("places")).withColumn("v", F.get("samples", F.col("place")))
+    # measured before the places are taken apart: once a frame and pane, not once a pixel
+    lo, hi = P.extent(F.col("measured"))
+    windows = both.withColumn("measured", measured).select("plan", "frame_idx", "samples", "masked", "places", lo.alias("lo"), hi.alias("hi"))
+    px = windows.select("plan", "frame_idx", "samples", "masked", "lo", "hi", F.inline("places")).withColumn("v", F.get("samples", F.col("place")))
     g = T.linear(F.col("v"), F.col("lo"), F.col("hi"))
     g = F.when(F.col("masked") & (F.col("v") > over), T.blend(g, F.lit(colour), F.lit(alpha))).otherwise(g)
     return px.select("plan", "frame_idx", "ox", "oy", F.when(F.col("v").isNull(), T.BACKGROUND[0]).otherwise(g).alias("g"), F.when(F.col("v").isNull(), 0).otherwise(255).alias("a"))

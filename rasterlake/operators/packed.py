@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterlake.functions.tone import histogram_bin, linear
 from rasterlake.operators.frames import line_points
 
 NAN = float("nan")
@@ -27,6 +28,24 @@ def with_extent(frames: DataFrame, nominal: float = 1.0) -> DataFrame:
     return frames.withColumns({"lo": lo, "hi": hi})
 
 
+def sorted_bins(samples: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """The bin of every sample that is a number, in order: a histogram that stays in its row."""
+    return F.array_sort(F.transform(F.filter(samples, lambda v: ~F.isnan(v)), lambda v: histogram_bin(v, lo, hi, bins)))
+
+
+def tails(bins: Column, percent: Column, last: int) -> tuple[Column, Column]:
+    """The bins whose running counts pass the low threshold and reach the high one, of bins in order.
+
+    Thresholds are truncated in single precision; past the last bin both stop there.
+    """
+    single = lambda x: F.lit(x).cast("float")
+    total = F.size(bins).cast("float")
+    low_t = ((total * percent).cast("float") / single(100.0)).cast("float").cast("int")
+    high_t = (total * (single(1.0) - (percent / single(100.0)).cast("float")).cast("float")).cast("float").cast("int")
+    low, high = F.get(bins, low_t), F.get(bins, F.greatest(high_t - 1, F.lit(0)))
+    return F.coalesce(low, F.lit(last)), F.least(F.lit(last), F.coalesce(high, F.lit(last)))
+
+
 def drop_alpha(samples: Column, channels: int = 4) -> Column:
     """The colour samples of frames with an alpha channel."""
     return F.filter(samples, lambda _, i: i % channels < channels - 1)
@@ -49,6 +68,14 @@ def decimate(samples: Column, w: int, step: int) -> Column:
     return F.filter(samples, lambda _, i: (i % w % step == 0) & (F.floor(i / w) % step == 0))
 
 
+def thumbnails(frames: DataFrame, w: int, h: int, size: int) -> DataFrame:
+    """Mono frames with lo and hi, decimated until they fit ``size`` and shown in their own window: w, h and ``grey`` replace the samples."""
+    step = max(1, -(-max(w, h) // size))
+    kept = frames.withColumn("kept", decimate(F.col("samples"), w, step))
+    grey = F.transform("kept", lambda v: linear(v, F.col("lo"), F.col("hi")))
+    return kept.withColumns({"w": F.lit(-(-w // step)), "h": F.lit(-(-h // step)), "grey": grey}).drop("samples", "kept", "lo", "hi")
+
+
 def at(samples: Column, w: int, x: int, y: int, channels: int = 1, channel: int = 0) -> Column:
     """One sample; null outside the frame."""
     return F.get(samples, F.lit((y * w + x) * channels + channel))

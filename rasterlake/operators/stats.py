@@ -93,13 +93,20 @@ def _at_tails(tails: DataFrame, keys: list[str]) -> DataFrame:
 
 def frame_bounds(frames: DataFrame, keys: list[str], w: int, h: int, percent: float | None = None, region: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(lo, hi) of packed float frames: of the region if it covers a pixel, else of the whole frame; clipped at both tails if percent is given."""
-    inside = region and packed.region_bounds(*region, w, h)
-    subject = frames.withColumn("samples", packed.crop(F.col("samples"), w, *inside)) if inside else frames
-    with_lo_hi = packed.with_extent(subject.select(*keys, "samples"))
-    if percent is None:
-        return with_lo_hi.select(*keys, "lo", "hi")
-    counts = binned_counts(with_lo_hi.select(*keys, "lo", "hi", F.explode("samples").alias("v")), [*keys, "lo", "hi"], FLOAT_BINS)
-    return _at_tails(tail_bins(counts, [*keys, "lo", "hi"], percent, "bin", FLOAT_BINS - 1), keys).withColumnsRenamed({"p_lo": "lo", "p_hi": "hi"})
+    return bounds_by_case(frames, keys, w, h, [("", percent, region)]).drop("subject")
+
+
+def bounds_by_case(frames: DataFrame, keys: list[str], w: int, h: int, cases: list[tuple[str, float | None, tuple[float, float, float, float] | None]]) -> DataFrame:
+    """(subject, lo, hi) of each frame by every case of (subject, percent, region), in one pass over packed frames: no pixel leaves its row."""
+    inside = lambda region: region and packed.region_bounds(*region, w, h)
+    of = lambda region: packed.crop(F.col("samples"), w, *inside(region)) if inside(region) else F.col("samples")
+    structs = [F.struct(F.lit(name).alias("subject"), F.lit(percent).cast("float").alias("percent"), of(region).alias("samples")) for name, percent, region in cases]
+    rows = packed.with_extent(frames.select(*keys, F.inline(F.array(*structs))))
+    rows = rows.withColumn("bins", F.when(F.col("percent").isNotNull(), packed.sorted_bins(F.col("samples"), F.col("lo"), F.col("hi"), FLOAT_BINS)))
+    low, high = packed.tails(F.col("bins"), F.col("percent"), FLOAT_BINS - 1)
+    tails = _at_tails(rows.withColumns({"low": low, "high": high}), [*keys, "subject", "percent", "lo", "hi"])
+    clipped = lambda c: F.when(F.col("percent").isNull(), F.col(c)).otherwise(F.col(f"p_{c}")).alias(c)
+    return tails.select(*keys, "subject", clipped("lo"), clipped("hi"))
 
 
 def in_region(px: DataFrame, x0: float, y0: float, x1: float, y1: float, w: int, h: int) -> DataFrame:

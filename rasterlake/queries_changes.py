@@ -7,14 +7,15 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rasterlake.functions import tone as T
 from rasterlake.operators import anchors as A
 from rasterlake.operators import chain as C
 from rasterlake.operators import layout as Y
-from rasterlake.operators import scan
+from rasterlake.operators import packed, scan
 from rasterlake.plans import views as V
 from rasterlake.plans.graph import Node
 from rasterlake.plans.stage import shared_dir
-from rasterlake.queries import FRAMES_SQL, query
+from rasterlake.queries import FRAMES_SQL, linear_sql, query
 from rasterlake.queries_layout import HEADERS_SQL, _headers
 from rasterlake.streaming import routing
 from rasterlake.streaming.refresh import Refresh
@@ -140,3 +141,31 @@ def routed_probes(spark, d):
     ends = last.select("media_id", F.pmod(F.xxhash64("media_id", "file"), F.lit(1 << 40)).alias("probe"), "file", "page", F.lit("end").alias("kind"), "files")
     known = routing.summary(routing.settled(probes.unionByName(ends)))
     return count.select("media_id").join(known, "media_id", "left").fillna(0)
+
+
+_TURBO = ", ".join(str(r << 16 | g << 8 | b) for r, g, b in T.palette("turbo"))
+#: A packed colour as (alpha, blue, green, red) from red, green, blue of 24 bits.
+_ABGR = "(4278190080 + (c % 256) * 65536 + (c // 256 % 256) * 256 + c // 65536)"
+
+
+@query(f"""WITH {FRAMES_SQL}, s AS (SELECT media_id, frame_idx, list_transform(samples, lambda x: floor(32768 + CAST(x AS DOUBLE) * 32768)) AS s FROM f), b AS (SELECT *, list_min(s) AS lo, list_max(s) AS hi FROM s),
+    t AS (SELECT media_id, frame_idx, unnest(CASE WHEN hi > lo THEN list_transform(s, lambda v: floor((v - lo) * 65535 / (hi - lo))) ELSE s END) AS v, unnest(range(0, 64)) AS pos FROM b),
+    p AS (SELECT *, media_id % 2 = 1 AS coloured, CAST(floor(v / 256) AS INTEGER) AS g FROM t)
+    SELECT media_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(pos AS INTEGER) AS pos, CASE WHEN coloured THEN {_ABGR} ELSE 4278190080 + g * 65793 END AS abgr
+    FROM (SELECT *, CAST(list_extract([{_TURBO}], g + 1) AS BIGINT) AS c FROM p)""")
+def rendered_chain(spark, d):
+    """What the operators leave, to 8 bits, through a palette where the media has one, else grey; packed as alpha, blue, green, red."""
+    frames = V.embedding_frames(spark, d).withColumns({"samples": F.transform("samples", lambda x: F.floor(32768 + x.cast("double") * 32768).cast("float")), "dtype": F.lit("uint16")})
+    made = C.apply_chain(frames).select("media_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.posexplode("samples").alias("pos", "v"))
+    grey = F.floor(F.col("v") / 256).cast("int")
+    colour = F.when(F.col("media_id") % 2 == 1, T.palette_column("turbo", grey)).otherwise(grey * 0x10101)
+    return made.select("media_id", "frame_idx", "pos", T.packed_abgr(colour).alias("abgr"))
+
+
+@query(f"""WITH {FRAMES_SQL}, b AS (SELECT *, list_min(samples) AS lo, list_max(samples) AS hi FROM f), p AS (SELECT media_id, frame_idx, lo, hi, unnest(samples) AS v, unnest(range(0, 64)) AS pos FROM b),
+    k AS (SELECT *, pos % 8 AS x, pos // 8 AS y FROM p WHERE pos % 8 % 3 = 0 AND pos // 8 % 3 = 0)
+    SELECT media_id, CAST(frame_idx AS INTEGER) AS frame_idx, 3 AS w, 3 AS h, string_agg(CAST({linear_sql('v', 'lo', 'hi')} AS VARCHAR), ',' ORDER BY pos) AS grey FROM k GROUP BY media_id, frame_idx""")
+def thumbnails(spark, d):
+    """Frames at most three samples wide and high, every n-th sample kept, in the whole frame's window."""
+    frames = packed.with_extent(V.embedding_frames(spark, d))
+    return packed.thumbnails(frames, 8, 8, 3).select("media_id", F.col("frame_idx").cast("int").alias("frame_idx"), "w", "h", F.array_join("grey", ",").alias("grey"))
