@@ -111,3 +111,40 @@ def video_frames(stated: Column, packets: Column, seconds: Column, fps: Column)
     """The number of frames that a probe gives; null if it gives none."""
     counted = F.coalesce(packets, F.round(seconds * fps).cast("long"))
     return F.coalesce(stated, F.when(counted > 0, counted))
+
+
+def _items(text: Column) -> Column:
+    return F.transform(F.split(text, ","), lambda x: F.trim(x))
+
+
+def _whole(items: Column) -> Column:
+    """The list, or nothing if one of its items is none."""
+    return F.when(~F.exists(items, lambda x: x.isNull()), items)
+
+
+def tone_list(text: Column, palettes: dict[str, str], default: str) -> Column:
+    """The tone of each pane of a comma-separated list: linear, lut_alpha or colormap:name. One unknown item voids the list."""
+    names = F.create_map(*(F.lit(x) for pair in palettes.items() for x in pair))
+
+    def tone(item: Column) -> Column:
+        name = F.lower(item)
+        named = F.when(name.startswith("colormap:"), F.concat(F.lit("colormap:"), F.try_element_at(names, F.trim(F.substring(name, 10, 1 << 20)))))
+        return F.when(name.isin("linear", "linearclip", "clip"), "linear").when(name.isin("lutalpha", "lut_alpha"), "lut_alpha").when(name == "colormap", f"colormap:{default}").otherwise(named)
+
+    return _whole(F.transform(_items(text), tone))
+
+
+def clip_list(text: Column) -> Column:
+    """The percentile of each pane, -1 for off. One item that is neither voids the list."""
+    return _whole(F.transform(_items(text), lambda x: F.when(F.lower(x).isin("off", "none"), F.lit(-1.0).cast("float")).otherwise(x.try_cast("float"))))
+
+
+def number_list(text: Column, length: int | None = None) -> Column:
+    """Comma-separated numbers, of that many if ``length`` is given. One item that is no number voids the list."""
+    found = _whole(F.transform(_items(text), lambda x: x.try_cast("double")))
+    return found if length is None else F.when(F.size(found) == length, found)
+
+
+def flag_list(text: Column) -> Column:
+    """Whether each item says yes; whatever else it says is no."""
+    return F.transform(_items(text), lambda x: x.isin("1", "true", "on"))

@@ -63,3 +63,28 @@ def final_average(df: DataFrame, key: str, order: list[str], value: str, alpha:
     first = F.lead(value).over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))).isNull()
     weight = F.pow(F.lit(1 - alpha), back) * F.when(first, 1.0).otherwise(alpha)
     return df.withColumn("weight", weight).groupBy(key).agg(F.sum(F.col(value) * F.col("weight")).alias("ema"), F.count("*").alias("n"))
+
+
+def played(tick: Column, lo: Column, hi: Column, stride: Column, loops: Column) -> Column:
+    """The frame of a window that is shown after so many ticks: whole strides, a last short one onto the end, then again or no further."""
+    laps = F.ceil((hi - lo) / stride) + 1
+    step = F.when(loops, tick % laps).otherwise(F.least(tick, laps - 1))
+    return F.when(hi <= lo, lo).otherwise(lo + F.least(step * stride, hi - lo)).cast("long")
+
+
+def interleaved(plans: DataFrame, pane: str, distance: str) -> DataFrame:
+    """Rows with ``turn``: every pane's nearest first, then every pane's next.
+
+    Turns of one distance are numbered apart and shifted by the number of those before, so no task orders all rows.
+    """
+    counts = plans.groupBy(distance).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy(distance).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(distance, F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(distance).orderBy(pane)) - 1
+    return plans.withColumn("rank", rank).join(offsets, distance).withColumn("turn", F.col("before") + F.col("rank")).drop("before", "rank")
+
+
+def onto_panes(panes: DataFrame, view: str, pane: str, lists: dict[str, Column]) -> DataFrame:
+    """Panes with each list's item at their place, the setting of that name where a list has none for them."""
+    settings = {name: F.coalesce(F.get(values, F.col(pane)), F.col(name)) for name, values in lists.items()}
+    return panes.withColumns(settings)

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rasterlake.functions import tokens as K
 from rasterlake.functions import tone as T
 from rasterlake.operators import anchors as A
 from rasterlake.operators import chain as C
 from rasterlake.operators import layout as Y
 from rasterlake.operators import packed, scan
+from rasterlake.operators import timeline as L
 from rasterlake.plans import views as V
 from rasterlake.plans.graph import Node
 from rasterlake.plans.stage import shared_dir
@@ -169,3 +171,51 @@ def thumbnails(spark, d):
     """Frames at most three samples wide and high, every n-th sample kept, in the whole frame's window."""
     frames = packed.with_extent(V.embedding_frames(spark, d))
     return packed.thumbnails(frames, 8, 8, 3).select("media_id", F.col("frame_idx").cast("int").alias("frame_idx"), "w", "h", F.array_join("grey", ",").alias("grey"))
+
+
+#: Lists of settings for the panes of a customer's view.
+LISTS_SQL = """l AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'linear, LutAlpha,colormap' WHEN 1 THEN 'Colormap:diff,clip' WHEN 2 THEN 'linear,odd' WHEN 3 THEN 'colormap:none' WHEN 4 THEN 'lut_alpha' ELSE '' END AS tones,
+        CASE c_custkey % 5 WHEN 0 THEN 'off,' || c_custkey % 7 WHEN 1 THEN '0.5, None ,2' WHEN 2 THEN 'x' ELSE c_custkey % 11 || '.25' END AS clips, c_custkey % 90 || ', -' || c_custkey % 13 || '.5' || CASE WHEN c_custkey % 4 = 0 THEN ',1e1' WHEN c_custkey % 4 = 1 THEN ',?' ELSE '' END AS rotations,
+        CASE c_custkey % 3 WHEN 0 THEN '1,0, on' WHEN 1 THEN 'true' ELSE 'no,off' END AS shown FROM customer)"""
+
+
+def _lists(spark, d):
+    k = F.col("c_custkey")
+    pick = lambda n, *texts: F.element_at(F.array(*(t if hasattr(t, "cast") else F.lit(t) for t in texts)), (k % n + 1).cast("int"))
+    return V.table(spark, d, "customer").select(
+        k.alias("k"),
+        pick(6, "linear, LutAlpha,colormap", "Colormap:diff,clip", "linear,odd", "colormap:none", "lut_alpha", "").alias("tones"),
+        pick(5, F.concat(F.lit("off,"), k % 7), "0.5, None ,2", "x", F.concat(k % 11, F.lit(".25")), F.concat(k % 11, F.lit(".25"))).alias("clips"),
+        F.concat(k % 90, F.lit(", -"), k % 13, F.lit(".5"), F.when(k % 4 == 0, ",1e1").when(k % 4 == 1, ",?").otherwise("")).alias("rotations"),
+        pick(3, "1,0, on", "true", "no,off").alias("shown"),
+    )
+
+
+@query(f"""WITH {LISTS_SQL}, i AS (SELECT k, list_transform(string_split(tones, ','), lambda x: CASE WHEN lower(trim(x)) IN ('linear', 'linearclip', 'clip') THEN 'linear' WHEN lower(trim(x)) IN ('lutalpha', 'lut_alpha') THEN 'lut_alpha' WHEN lower(trim(x)) = 'colormap' THEN 'colormap:turbo'
+        WHEN lower(trim(x)) IN ('colormap:diff', 'colormap:bwr', 'colormap:diverging') THEN 'colormap:diverging' WHEN lower(trim(x)) IN ('colormap:turbo', 'colormap:viridis') THEN lower(trim(x)) END) AS t,
+        list_transform(string_split(clips, ','), lambda x: CASE WHEN lower(trim(x)) IN ('off', 'none') THEN -1 ELSE TRY_CAST(trim(x) AS FLOAT) END) AS c, list_transform(string_split(rotations, ','), lambda x: TRY_CAST(trim(x) AS DOUBLE)) AS r, list_transform(string_split(shown, ','), lambda x: trim(x) IN ('1', 'true', 'on')) AS s FROM l),
+    w AS (SELECT k, CASE WHEN len(list_filter(t, lambda x: x IS NULL)) = 0 THEN t END AS t, CASE WHEN len(list_filter(c, lambda x: x IS NULL)) = 0 THEN c END AS c, CASE WHEN len(list_filter(r, lambda x: x IS NULL)) = 0 THEN r END AS r, s FROM i)
+    SELECT k, CAST(p AS INTEGER) AS pane, coalesce(t[p + 1], 'linear') AS tone, round(CAST(coalesce(c[p + 1], 0.01) AS DOUBLE), 4) AS clip, coalesce(r[p + 1], 0) AS rotation, coalesce(s[p + 1], true) AS shown, r IS NOT NULL AND len(r) = 2 AS paired FROM w, (SELECT unnest(range(0, 3)) AS p)""")
+def applied_lists(spark, d):
+    """Lists of settings onto the three panes of each view; a list with a bad item counts for nothing."""
+    parsed = _lists(spark, d).select("k", K.tone_list(F.col("tones"), T.ALIASES, "turbo").alias("tones"), K.clip_list(F.col("clips")).alias("clips"), K.number_list(F.col("rotations")).alias("rotations"), K.number_list(F.col("rotations"), 2).isNotNull().alias("paired"), K.flag_list(F.col("shown")).alias("flags"))
+    panes = parsed.withColumn("pane", F.explode(F.array(*map(F.lit, range(3))))).withColumns({"tone": F.lit("linear"), "clip": F.lit(0.01).cast("float"), "rotation": F.lit(0.0), "shown": F.lit(True)})
+    lists = {"tone": F.col("tones"), "clip": F.col("clips"), "rotation": F.col("rotations"), "shown": F.col("flags")}
+    return L.onto_panes(panes, "k", "pane", lists).select("k", "pane", "tone", F.round(F.col("clip").cast("double"), 4).alias("clip"), "rotation", "shown", "paired")
+
+
+@query("""WITH RECURSIVE n AS (SELECT user_id AS media_id, count(*) AS n FROM events GROUP BY 1), w AS (SELECT media_id, n, 2::BIGINT AS lo, n - 1 AS hi, 1 + media_id % 4 AS ff, media_id % 3 > 0 AS loops FROM n),
+    p AS (SELECT media_id, 0::BIGINT AS tick, lo AS frame FROM w
+          UNION ALL SELECT p.media_id, tick + 1, CASE WHEN hi <= lo THEN lo WHEN frame + ff <= hi THEN frame + ff WHEN frame < hi THEN hi WHEN loops THEN lo ELSE frame END FROM p JOIN w USING (media_id) WHERE tick + 1 < n)
+    SELECT media_id, tick, frame FROM p""")
+def played_frames(spark, d):
+    """ST10, W14, O10, O11: the frame after each tick of a window from 2 on, in strides of one to four, some again and again."""
+    e = V.event_timeline(spark, d).select("media_id", F.col("frame_idx").alias("tick"), F.count("*").over(Window.partitionBy("media_id")).alias("n"))
+    frame = L.played(F.col("tick"), F.lit(2), F.col("n") - 1, 1 + F.col("media_id") % 4, F.col("media_id") % 3 > 0)
+    return e.select("media_id", "tick", frame.alias("frame"))
+
+
+@query("WITH e AS (SELECT user_id AS media_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT media_id, event_id, row_number() OVER (ORDER BY k, media_id) - 1 AS turn FROM e")
+def interleaved_turns(spark, d):
+    """Every media's first event, then every media's second, and so on."""
+    return L.interleaved(V.event_timeline(spark, d), "media_id", "frame_idx").select("media_id", "event_id", "turn")
