@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.plans.stage import cut
+from rasterlake.plans.stage import shared_dir
 
 
 @dataclass(frozen=True)
@@ -80,13 +81,20 @@ def reachable(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, source): everything that each node depends on, from (node, source) edges.
 
     Each round follows the edges of what the last one found and keeps only what is new, so a diamond
-    costs its pairs, not its paths. Rounds end at the longest chain; each is written, so lineage stays short.
+    costs its pairs, not its paths. Rounds end at the longest chain; each writes what it found beside the
+    rounds before it, and nothing is written twice.
     """
-    edges = cut(edges.select("node", "source").distinct())
-    known = frontier = edges
-    while True:
-        further = frontier.alias("f").join(edges.alias("e"), F.col("f.source") == F.col("e.node")).select("f.node", "e.source").distinct()
-        frontier = cut(further.join(known, ["node", "source"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = cut(known.unionByName(frontier))
+    folder = f"{shared_dir(spark).rstrip('/')}/cut/{uuid.uuid4().hex}"
+    schema = edges.select("node", "source").schema
+
+    def found(round_: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/round={round_}")
+
+    edges.select("node", "source").distinct().write.parquet(f"{folder}/round=0")
+    at = 0
+    while not found(str(at)).isEmpty():
+        further = found(str(at)).alias("f").join(found("0").alias("e"), F.col("f.source") == F.col("e.node")).select("f.node", "e.source").distinct()
+        known = found("*")
+        further.join(known, ["node", "source"], "left_anti").write.parquet(f"{folder}/round={at + 1}")
+        at += 1
+    return found("*")
