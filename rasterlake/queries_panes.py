@@ -270,7 +270,8 @@ def video_lengths(spark, d):
 def saved_pixels(spark, d):
     """A still keeps its alpha in a format that has one; elsewhere what is clear turns white."""
     px = V.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
-    r, a = (F.floor(F.greatest(F.col("v"), F.lit(0.0).cast("float")) * 500).cast("int") % 256), F.when(F.col("v") > 0, 200).otherwise(0)
+    # both factors are floats, so the product is rounded to one before it is cut off
+    r, a = (F.floor(F.greatest(F.col("v"), F.lit(0.0).cast("float")) * F.lit(500.0).cast("float")).cast("int") % 256), F.when(F.col("v") > 0, 200).otherwise(0)
     keeps = F.col("vec_id") % 2 == 0
     return px.select("vec_id", "pos", F.when(keeps, r).otherwise(T.on_white(r, a)).alias("r"), F.when(keeps, a).otherwise(255).alias("a"))
 

@@ -1,7 +1,10 @@
 """Golden cases of views, reordering, changed layouts and composition."""
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from rasterlake.functions import geometry as G
 from rasterlake.functions import tokens as K
 from rasterlake.functions import tone as T
@@ -89,3 +92,16 @@ def test_composition(spark):
     small = panes.filter("pane = 0").withColumns({"zoom": F.lit(0.5)})
     got = {(r.ox, r.oy): r.a for r in C.compose(frames, small, (2.0, 2.0), (4, 4), 2, 2, over=1e9).collect()}
     assert len(got) == 16 and sum(a == 255 for a in got.values()) == 4
+
+
+def test_saved_pixels_round_products_to_floats(spark, tmp_path):
+    """Products that lie under a whole number as doubles and on it as floats, by Spark and by the SQL beside it."""
+    values = [float(np.float32(x)) for x in np.arange(1, 500, dtype=np.float32) / np.float32(500)]
+    close = [v for v in values if int(v * 500) != int(np.float32(v) * np.float32(500))]
+    rows = [(k, (close * 64)[:64], 0) for k in range(2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["saved_pixels"]).fetchall()
+    got = entry.queries()["saved_pixels"](spark, str(tmp_path)).collect()
+    assert len(close) > 9 and sorted(map(tuple, got)) == sorted(want)
