@@ -1,7 +1,8 @@
 """Video files whose frames stand alone: uncompressed and Motion-JPEG AVI.
 
 ``spark.read.format("avi_frames").load(glob)`` plans from each file's headers and index:
-one partition a range of frames, whose task seeks to them and reads no others. A file
+one partition a range of frames, whose task seeks to them and reads no others. Of many files
+the small ones are planned by the tasks that read them, many a task (``store.divided``). A file
 without an index is indexed from its chunk headers. A ``frame_idx = n`` filter becomes one
 frame's read. A file or frame that can't be read is a row with the reason.
 
@@ -15,6 +16,7 @@ import struct
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -180,13 +182,14 @@ class AviReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Range | store.Together]:
+        alone, together = store.divided(store.listed(self.path))
         with ThreadPoolExecutor(PLANNERS) as pool:
-            return [r for found in pool.map(self.planned, store.matching(self.path)) for r in found] or [Range("")]
+            return [r for found in pool.map(self.planned, alone) for r in found] + together or [Range("")]
 
-    def planned(self, path: str) -> list[Range]:
+    def planned(self, path: str, file=store.Reader) -> list[Range]:
         try:
-            read = store.Reader(path)
+            read = file(path)
             video = opened(read, read.size)
         except (ValueError, OSError, struct.error) as reason:
             return [Range(path, error=str(reason))] if self.only is None else []
@@ -194,13 +197,22 @@ class AviReader(DataSourceReader):
         ranges = [(k, min(k + FRAMES_PER_PARTITION, n)) for k in range(0, n, FRAMES_PER_PARTITION)] if self.only is None else [(self.only, self.only + 1)] * (0 <= self.only < n)
         return [Range(path, a, Video(**{**video.__dict__, "frames": video.frames[a:b]})) for a, b in ranges]
 
-    def read(self, partition: Range):
+    def read(self, partition: Range | store.Together):
+        if isinstance(partition, store.Together):
+            held = lru_cache(1)(store.Held)
+            for path in partition.paths():
+                for part in self.planned(path, held):
+                    yield from self._rows(part, held)
+        else:
+            yield from self._rows(partition, store.Reader)
+
+    def _rows(self, partition: Range, file):
         video = partition.video
         if partition.error:
             yield (partition.path, *[None] * 8, partition.error)
         if video is None:
             return
-        read = store.Reader(partition.path)
+        read = file(partition.path)
         for k, (at, n) in enumerate(video.frames, partition.first):
             seconds = k / video.rate if video.rate else None
             try:

@@ -219,3 +219,31 @@ def test_inflated_reports_what_is_no_stream():
     with pytest.raises(ValueError):
         codecs.inflated(b"\x00\x01\x02", 10)
     assert codecs.inflated(zlib.compress(b"abc"), 0) == b""
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """Files of one page and of several, broken ones, and a large one among them: few partitions, the rows of each file on its own."""
+    for k in range(200):
+        data = tiff.encode([np.full((3, 3), k + j, np.uint16) for j in range(1 + k % 3)])
+        (tmp_path / f"f{k:03d}.tif").write_bytes({7: b"none", 8: data[:-9], 9: b""}.get(k, data))
+    (tmp_path / "large.tif").write_bytes(tiff.encode([np.full((800, 900), j, np.float32) for j in range(2)]))
+    for headers in (False, True):
+        reader = tiff.TiffReader(f"{tmp_path}/*.tif", headers)
+        plan = reader.partitions()
+        assert len(plan) < 110 and [p.count for p in plan if isinstance(p, tiff.Pages)] == [2]
+        alone = [r for path in store.matching(f"{tmp_path}/*.tif") for p in reader.planned(path) for r in reader.read(p)]
+        assert sorted((r for p in plan for r in reader.read(p)), key=lambda r: r[:2]) == sorted(alone, key=lambda r: r[:2])
+        reader.only = 1
+        first = [r for path in store.matching(f"{tmp_path}/*.tif") for p in reader.planned(path) for r in reader.read(p)]
+        assert sorted((r for p in reader.partitions() for r in reader.read(p)), key=lambda r: r[0]) == first and len(first) > 100
+    tiff.register(spark)
+    got = spark.read.format("tiff_frames").load(f"{tmp_path}/*.tif")
+    assert got.rdd.getNumPartitions() < 110 and got.count() == len(alone)
+
+
+def test_a_long_listing_is_divided_by_bytes():
+    files_ = [(f"/a/{k % 3}/{k}", 1000) for k in range(30_000)] + [("/a/big", store.SMALL_BYTES + 1)]
+    alone, together = store.divided(sorted(files_))
+    assert alone == ["/a/big"] and sorted(p for t in together for p in t.paths()) == sorted(p for p, _ in files_[:-1])
+    assert 50 < len(together) < 80 and max(len(list(t.paths())) for t in together) < 600
+    assert store.divided(files_[:64]) == ([p for p, _ in files_[:64]], [])

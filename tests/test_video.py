@@ -103,3 +103,12 @@ def test_the_sink_writes_runs_of_videos(spark, tmp_path, kind):
             assert r.samples[::3] == want[media, number * 4 + r.frame_idx]
     with pytest.raises(Exception, match="one size"):
         sink.write_frames(made.selectExpr("media_id", "frame_idx", "IF(frame_idx = 2, 5, 7) AS w", "IF(frame_idx = 2, 7, 5) AS h", "channels", "dtype", "samples"), str(tmp_path / "bad"), kind=kind, pages=4)
+
+
+def test_many_small_videos_share_tasks(tmp_path):
+    for k in range(150):
+        (tmp_path / f"{k:03d}.avi").write_bytes(b"none" if k == 5 else written(FRAMES[k % 7 : k % 7 + 2]))
+    reader = avi.AviReader(f"{tmp_path}/*.avi")
+    plan = reader.partitions()
+    alone = [r for path in store.matching(f"{tmp_path}/*.avi") for p in reader.planned(path) for r in reader.read(p)]
+    assert len(plan) < 80 and [r for p in plan for r in reader.read(p)] == alone and len(alone) == 299
