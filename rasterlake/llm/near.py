@@ -372,7 +372,7 @@ def components(links: DataFrame, n: int) -> DataFrame:
 
 
 def _block(rows: DataFrame) -> DataFrame:
-    """(token, node, n, pivot) of the columns of the rows' blocks that more than one row has."""
+    """(token, node, n, pivot), each once, of the columns of the rows' blocks that more than one row has."""
     draw = F.xxhash64("node", F.pmod("token", F.lit(PIVOT_KINDS)))
     column = Window.partitionBy("token")
     pivot = F.first(F.struct("node", "n")).over(column.orderBy("draw", "node"))
@@ -384,7 +384,8 @@ def _block(rows: DataFrame) -> DataFrame:
     columns = hot.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "node", "n")).alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     hot = hot.join(columns.select("token", F.struct("least.node", "least.n").alias("pivot")), "token")
     own = ["token", "node", "n", "pivot"]
-    return staged(cold.select(own).unionByName(hot.select(own)), "block")
+    # copies of one set are told apart by no column here, and those of a column are in one place already
+    return staged(cold.select(own).distinct().unionByName(hot.select(own)), "block")
 
 
 def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -400,16 +401,17 @@ def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     first = block.filter(F.col("node") != F.col("pivot.node")).filter(_fits("n", "pivot.n", percent)).select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
     first = staged(_ordered(first), "pairs")
     links = _links(first, nodes, docs, ngram, percent)
-    found = staged(components(links, links.count()), "labels")
+    n = links.count()
+    found = staged(components(links, n), "labels")
 
-    placed = block.select("token", "node", "n").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = block.select("token", "node", "n").join(small(found, 2 * n), "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("most"))
     apart = parts.filter("parts > 1").select("token", F.col("most.component").alias("main"), (F.col("rows") - F.col("most.rows")).alias("outside"))
     mixed = staged(placed.join(apart, "token"), "apart")
     few = mixed.filter(F.col("outside") <= CROWD)
     outside = few.filter("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
     others = few.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
-    second = outside.join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
+    second = small(outside, outside.count()).join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
     second = staged(_ordered(second).join(first, ["a", "b"], "left_anti"), "pairs")
     found = _joined(found, _links(second, nodes, docs, ngram, percent))
 

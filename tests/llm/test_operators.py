@@ -449,3 +449,11 @@ def test_odd_and_empty_tables(spark, odd_docs, empty_docs, name):
     if name != "pack":
         assert found.count() == odd_docs.count()
     assert ON_DOCS[name](empty_docs).collect() == []
+
+
+def test_copies_meet_once_in_a_block(spark):
+    """Rows of equal sets are one row of a column, hot or not, and its pivot is the same for all."""
+    rows = spark.createDataFrame([(k % 3, 9, [1, 2, 10 + k % 3], [7]) for k in range(30)], "node long, n long, prefix array<long>, hot array<long>")
+    block = near._block(rows).collect()
+    assert sorted((r.token, r.node, r.n) for r in block) == [(t, k, 9) for t in (1, 2, 7) for k in range(3)]
+    assert len({(r.token, r.pivot) for r in block}) == 3
