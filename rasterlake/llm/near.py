@@ -26,9 +26,12 @@ enough to link each with the row of most slack. All others share at least
 (d(x) + d(y) - H) / 2 differences, and one at least. That is the same join again, on
 differences: a short prefix of the one with fewer of them meets a longer prefix of the
 other. A difference whose rows are of one component already links nothing and only fills
-places of the prefix. A list of rows with a common difference that is still crowded is
-told apart in the same way by what most of its rows have in common. It has at most half of
-the rows, or the difference would be none, so this ends.
+places of the prefix. Before that, a row goes whose numbers of differences, alone and
+shared, are too far from those of every row of another component; what is then alone lets
+more go. A list of rows with a common difference that is still crowded is
+told apart in the same way by what most of its rows have in common, without the differences
+that come before: two rows meet by the first that they share, and differ in those before it.
+It has at most half of the rows, or the difference would be none, so this ends.
 
 Row order needs only be the same everywhere, so the counts may be rough: they
 come from a table of ``2 ** SKETCH_BITS`` buckets over all documents, summed by
@@ -240,17 +243,20 @@ def _apart(rows: DataFrame, by: list[str], columns: str) -> DataFrame:
 
 
 def _differences(members: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
-    """(list, node, n, differ) of members (list, node)."""
+    """(list, node, n, alone, differ) of members (list, node)."""
     sets = _sets_of(members.select("node").distinct(), members.count(), nodes, texts, ngram)
     parts = _apart(members.join(sets, "node"), ["list", "block"], "grams")
     whole = parts.groupBy("list", "node").agg(F.sum(F.size("grams")).alias("n"), F.flatten(F.collect_list("differ")).alias("differ"))
-    return staged(whole, "differences")
+    return staged(whole.select("list", "node", "n", F.lit(0).alias("alone"), "differ"), "differences")
+
+
+def _slack(n, d, percent: int):
+    return (100 - percent) * n - (100 + percent) * d
 
 
 def _to_hub(differing: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of each list's rows to the one of most slack, where the two slacks suffice and components differ."""
-    slack = (100 - percent) * F.col("n") - (100 + percent) * F.size("differ")
-    rows = differing.select("list", "node", slack.alias("slack"))
+    rows = differing.select("list", "node", _slack(F.col("n"), F.col("alone") + F.size("differ"), percent).alias("slack"))
     hubs = rows.groupBy("list").agg(F.max(F.struct("slack", "node")).alias("hub")).select("list", F.col("hub.slack").alias("most"), F.col("hub.node").alias("hub"))
     near = rows.join(hubs, "list").filter("node <> hub AND slack + most >= 0").select(F.col("node").alias("x"), F.col("hub").alias("y"))
     return _across(_ordered(near), found)
@@ -263,25 +269,56 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b")
 
 
-def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(links, crowded lists as (list, node, part) if any) of rows in different components that share a difference.
+def _placed_in(differing: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(list, node, n, d, slack, component, differ) of rows of lists, nodes without a link being their own component."""
+    d = F.col("alone") + F.size("differ")
+    of = differing.select("list", "node", "n", d.alias("d"), _slack(F.col("n"), d, percent).alias("slack"), "differ").join(found, "node", "left")
+    return of.withColumn("component", F.coalesce("component", "node"))
 
-    The prefix of a row that meets one with as many differences or more is ``index`` long, the
-    other one's is ``probe`` long; both leave out what no row of another component has.
+
+def _may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """Those rows (list, node, n, d, slack, component, shared) that the numbers of differences leave a row to be linked to.
+
+    x and y differ in what each of them has alone, and in |s(x) - s(y)| of what they have in ``shared`` at
+    least. For each s one row a list is compared: its most slack, of all and of those outside the component of the hub.
     """
-    room = F.floor((100 - percent) * F.col("n") / percent)
-    of = differing.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    of = of.select("list", "node", "n", F.size("differ").alias("d"), "component", room.alias("room"), "differ")
-    # at most ``room`` of a row's differences are not those of a row that it is linked to: in any order, one of the first room + 1 is
-    begin = of.select("list", "node", "component", F.explode(F.slice(F.array_sort("differ"), F.lit(1), (F.col("room") + 1).cast("int"))).alias("early"))
-    several = begin.groupBy("list", "early").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "early")
-    of = staged(of.join(begin.join(several, ["list", "early"]).select("list", "node").distinct(), ["list", "node"], "left_semi"), "differing")
-
-    each = of.select("list", "node", "n", "d", "component", "room", F.explode("differ").alias("token"))
+    weight = 100 + percent
+    s = F.size("shared")
+    of = rows.withColumns({"s": s, "room_left": F.col("slack") + weight * s})
+    hubs = of.groupBy("list").agg(F.max(F.struct("slack", "component")).alias("hub")).select("list", F.col("hub.component").alias("main"))
+    of = of.join(hubs, "list")
+    steps = of.groupBy("list", "s").agg(F.max("room_left").alias("most"), F.max(F.when(F.col("component") != F.col("main"), F.col("room_left"))).alias("most_out"))
+    up, down = Window.partitionBy("list").orderBy("s"), Window.partitionBy("list").orderBy(F.desc("s"))
+    reach = lambda c: F.greatest(F.max(F.col(c) + weight * F.col("s")).over(up) - weight * F.col("s"), F.max(F.col(c) - weight * F.col("s")).over(down) + weight * F.col("s"))
+    steps = steps.select("list", "s", reach("most").alias("any"), reach("most_out").alias("out"))
+    best = F.when(F.col("component") == F.col("main"), F.col("out")).otherwise(F.col("any"))
+    return of.join(steps, ["list", "s"]).filter(F.col("room_left") + best >= 0).select(rows.columns)
+
+
+def _shared(of: DataFrame) -> DataFrame:
+    """Rows (list, node, n, d, slack, component, differ) with the differences that a row of another component has, as ``shared``, sorted by their rows."""
+    each = of.select("list", "node", "n", "d", "slack", "component", F.explode("differ").alias("token"))
     # differences of the same rows, as those of one edit are, have the same mark and stand together; the first speaks for them
     mark = F.bit_xor(F.xxhash64("node")).alias("mark")
     open_ = each.groupBy("list", "token").agg(F.count("*").alias("rows"), mark, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list", "token", "rows", "mark")
-    shared = each.join(open_, ["list", "token"]).groupBy("list", "node", "n", "d", "component", "room").agg(F.array_sort(F.collect_list(F.struct("rows", "mark", "token"))).alias("shared"))
+    return each.join(open_, ["list", "token"]).groupBy("list", "node", "n", "d", "slack", "component").agg(F.array_sort(F.collect_list(F.struct("rows", "mark", "token"))).alias("shared"))
+
+
+def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(links, crowded lists as (list, node, n, alone, columns) if any) of rows in different components that share a difference.
+
+    The prefix of a row that meets one with as many differences or more is ``index`` long, the
+    other one's is ``probe`` long; both leave out what no row of another component has.
+    """
+    of, left = _placed_in(differing, found, percent), None
+    while True:
+        shared = staged(_may_link(staged(_shared(of), "shared"), percent), "shared")
+        was, left = left, shared.count()
+        # rows that go leave more differences alone; each time half of the rows or fewer stay, so all times cost twice the first
+        if not left or was is not None and 2 * left > was:
+            break
+        of = shared.withColumn("differ", F.transform("shared", lambda t: t["token"])).drop("shared")
+    shared = shared.withColumn("room", F.floor((100 - percent) * F.col("n") / percent))
     alone = F.col("d") - F.size("shared")
     length = lambda most: F.greatest(F.lit(0), F.least(F.size("shared"), (most + 1 - alone).cast("int")))
     places = shared.withColumns({"index": length(F.floor(F.col("room") / 2)), "probe": length(F.col("room")), "left": F.size("shared")}).filter("probe > 0")
@@ -303,12 +340,18 @@ def _told_apart(differing: DataFrame, found: DataFrame, percent: int) -> tuple[D
     # what is behind the first difference that two rows share bounds how many they share
     fits = (2 * F.least("x_behind", "y_behind") >= to_share) & _fits("x_n", "y_n", percent)
     fewer = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x") < F.col("y")))
+    tokens = F.transform("shared", lambda t: t["token"])
     met = xs.join(ys, ["list", "token"]).filter(fewer & (F.col("x_component") != F.col("y_component")) & fits).select("list", "x", "y", to_share.alias("to_share")).distinct()
     for c in "xy":
-        met = met.join(differing.select("list", F.col("node").alias(c), F.col("differ").alias(f"{c}_differ")), ["list", c])
+        met = met.join(shared.select("list", F.col("node").alias(c), tokens.alias(f"{c}_differ")), ["list", c])
     links = _ordered(met.filter(2 * F.size(F.array_intersect("x_differ", "y_differ")) >= F.col("to_share")))
-    crowded = placed.join(lists.filter(F.col("firsts") > FIRSTS), ["list", "token"]).select("list", "node", F.xxhash64("list", "token").alias("part"))
-    return links, None if last else staged(crowded, "crowded")
+    if last:
+        return links, None
+    # two rows that share a difference meet by the first that they share: what is before it is alone there
+    crowded = placed.join(lists.filter(F.col("firsts") > FIRSTS), ["list", "token"]).select("list", "node", "token", "behind")
+    behind = F.slice(tokens, F.size("shared") - F.col("behind") + 1, F.col("behind"))
+    parts = crowded.join(shared, ["list", "node"]).select(F.xxhash64("list", "token").alias("list"), "node", "n", (F.col("d") - F.col("behind")).alias("alone"), behind.alias("columns"))
+    return links, staged(parts, "crowded")
 
 
 def _crowded_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -320,8 +363,7 @@ def _crowded_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts
         found = _joined(found, staged(links, "links"))
         if crowded is None:
             return found
-        parts = crowded.join(differing.select("list", "node", "n", "differ"), ["list", "node"]).select(F.col("part").alias("list"), "node", "n", F.col("differ").alias("columns"))
-        differing = staged(_apart(parts, ["list"], "columns").select("list", "node", "n", "differ"), "differences")
+        differing = staged(_apart(crowded, ["list"], "columns").select("list", "node", "n", "alone", "differ"), "differences")
 
 
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:

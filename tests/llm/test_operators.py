@@ -357,6 +357,31 @@ def test_second_pass_is_linear_in_a_group(spark, monkeypatch):
     assert made[300] <= 2.5 * made[150]
 
 
+def test_lists_of_differences_stay_linear(spark, monkeypatch):
+    """Differences that the rounds on one crowded list take up in all, among rows of 1 to 30 edits of four columns each."""
+    taken, told_apart = [], near._told_apart
+    monkeypatch.setattr(near, "_told_apart", lambda differing, *rest: taken.append(differing.selectExpr("sum(size(differ))").first()[0] or 0) or told_apart(differing, *rest))
+    monkeypatch.setattr(near, "COMPARED", 0)
+    monkeypatch.setattr(near, "FIRSTS", 1)
+    rng, rows = random.Random(3), []
+    for node in range(160):
+        gone = {t for at in rng.sample(range(397), rng.randint(1, 30)) for t in range(at, min(at + 4, 397))}
+        rows.append((0, node, 397, 0, [*gone, *(1000 * (node + 1) + t for t in gone)]))
+    differing = spark.createDataFrame(rows, "list long, node long, n long, alone int, differ array<long>")
+    monkeypatch.setattr(near, "_differences", lambda *_: differing)
+    found = near._crowded_links(None, spark.createDataFrame([], "node long, component long"), None, None, 4, 85)
+    got = {r.node: r.component for r in found.collect()}
+    want = list(range(160))
+    sets = [set(r[4]) for r in rows]
+    for x in range(160):
+        for y in range(x):
+            if 185 * len(sets[x] ^ sets[y]) <= 15 * 794 and want[x] != want[y]:
+                low, high = sorted((want[x], want[y]))
+                want = [low if c == high else c for c in want]
+    assert [got.get(k, k) for k in range(160)] == want and len(set(want)) > 1
+    assert sum(taken) <= 2 * taken[0], taken
+
+
 def test_one_of_each_keeps_other_texts_of_an_id(spark):
     a, b, c, d = (prose(k, 50) for k in range(4))
     docs = spark.createDataFrame([(1, a, 0, "x"), (2, a, 1, "x"), (2, b, 2, "x"), (3, c, 3, "x"), (3, d, 4, "x"), (None, d, 5, "x"), (None, prose(9, 50), 6, "x"), (None, None, 7, "x")], "doc_id long, text string, text_key long, component string")
