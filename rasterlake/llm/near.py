@@ -73,6 +73,8 @@ PIVOT_KINDS = 4
 HOT, HOT_ROWS = 16, 1000
 #: Rows outside a column's largest component that are still compared directly, and rows of short prefixes in a list of differences.
 CROWD, FIRSTS = 32, 4
+#: Up to so many times CROWD rows are compared directly if no more than CROWD times their number of pairs may meet.
+WIDE = 8
 #: Comparisons, in all or for each row, that lists of differences may cost before they are told apart further.
 COMPARED, COMPARED_PER_ROW = 20_000, 4
 #: So few links are joined in one task; more take the distributed rounds.
@@ -200,6 +202,19 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
+def _reach(percent: int):
+    """The size up to which a row of ``n`` columns may be linked to rows whose first column in common with it is its ``pos``-th, from 0.
+
+    They have at most the ``n - pos`` columns from there on in common.
+    """
+    return F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent).cast("long") - F.col("n")
+
+
+def _meet(a: str, b: str):
+    """Whether two rows' sizes are within each other's reach."""
+    return (F.col(f"{a}n") <= F.col(f"{b}reach")) & (F.col(f"{b}n") <= F.col(f"{a}reach"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -413,21 +428,49 @@ def components(links: DataFrame, n: int) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _block(rows: DataFrame) -> DataFrame:
-    """(token, node, n, pivot), each once, of the columns of the rows' blocks that more than one row has."""
+def _block(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(token, node, n, reach, ahead, pivot), each once, of the columns of the rows' blocks that more than one row has.
+
+    Of two rows that meet the smaller one reaches its own size, so no two meet in a column whose ``ahead`` is below 0.
+    """
     draw = F.xxhash64("node", F.pmod("token", F.lit(PIVOT_KINDS)))
     column = Window.partitionBy("token")
     pivot = F.first(F.struct("node", "n")).over(column.orderBy("draw", "node"))
-    # the draws are made where the columns meet, so they aren't shuffled
-    cold = rows.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token")).repartition("token").withColumn("draw", draw).withColumn("n", F.col("n").cast("long"))
-    cold = cold.withColumns({"pivot": pivot, "low": F.min("node").over(column), "high": F.max("node").over(column)}).filter("low <> high")
+    of_column = {"low": F.min("node"), "high": F.max("node"), "ahead": F.max(F.col("reach") - F.col("n"))}
+    # the draws and reaches are made where the columns meet, so they aren't shuffled
+    cold = rows.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).select("node", "n", "token", "pos").repartition("token").withColumn("draw", draw).withColumn("n", F.col("n").cast("long")).withColumn("reach", _reach(percent))
+    cold = cold.withColumns({"pivot": pivot} | {k: v.over(column) for k, v in of_column.items()}).filter("low <> high")
     # copies of one set are one row before they meet, and a hot column is one row a task
-    hot = staged(rows.select("node", "n", F.explode("hot").alias("token")).distinct(), "hot")
-    columns = hot.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "node", "n")).alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    hot = hot.join(columns.select("token", F.struct("least.node", "least.n").alias("pivot")), "token")
-    own = ["token", "node", "n", "pivot"]
+    hot = rows.select("node", "n", F.size("prefix").alias("before"), F.posexplode("hot").alias("at", "token")).withColumn("pos", F.col("before") + F.col("at"))
+    hot = staged(hot.select("node", "n", "token", _reach(percent).alias("reach")).distinct(), "hot")
+    columns = hot.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), "node", "n")).alias("least"), *(v.alias(k) for k, v in of_column.items())).filter("low <> high")
+    hot = hot.join(columns.select("token", "ahead", F.struct("least.node", "least.n").alias("pivot")), "token")
+    own = ["token", "node", "n", "reach", "ahead", "pivot"]
     # copies of one set are told apart by no column here, and those of a column are in one place already
-    return staged(cold.select(own).distinct().unionByName(hot.select(own)), "block")
+    return cold.select(own).distinct().unionByName(hot.select(own))
+
+
+def _may_meet(rows: DataFrame) -> DataFrame:
+    """Those rows (token, node, n, reach, component, main, ...) of long columns that may meet a row of another component there.
+
+    x and y meet if each one's size is within the other's reach. For each reach one row a column is
+    compared, of the rows of no greater size: the farthest reach of all and of those outside the main component.
+    """
+    out = F.when(F.col("component") != F.col("main"), F.col("reach"))
+    each = rows.select("token", F.explode(F.array(F.struct(F.col("n").alias("size"), F.col("reach").alias("any"), out.alias("out")), F.struct(F.col("reach").alias("size"), F.lit(None).cast("long").alias("any"), F.lit(None).cast("long").alias("out")))).alias("of"))
+    sizes = each.groupBy("token", "of.size").agg(F.max("of.any").alias("any"), F.max("of.out").alias("out"))
+    up = Window.partitionBy("token").orderBy("size")
+    farthest = sizes.select("token", F.col("size").alias("reach"), F.max("any").over(up).alias("any"), F.max("out").over(up).alias("out"))
+    best = F.when(F.col("component") == F.col("main"), F.col("out")).otherwise(F.col("any"))
+    return rows.join(farthest, ["token", "reach"]).filter(F.col("n") <= best).select(rows.columns)
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(token, x, y) of rows (token, node, n, reach, component, main) of different components that may meet in a column."""
+    side = lambda c: [F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", "reach", "component"))]
+    outside, others = rows.filter("component <> main").select("token", *side("x")), rows.select("token", *side("y"), "main")
+    once = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))
+    return small(outside, outside.count()).join(others, "token").filter(once & _meet("x_", "y_")).select("token", "x", "y")
 
 
 def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -438,7 +481,7 @@ def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     rows = staged(docs.mapInArrow(_prefixes(levels, ngram, SKETCH_BITS, percent), f"doc_id {id_type}, text_key long, n long, node long, profile array<int>, prefix array<long>, hot array<long>"), "rows")
     # one row of the matrix for each distinct set
     nodes = staged(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("profile").alias("profile")), "nodes")
-    block = _block(rows)
+    block = staged(_block(rows, percent).filter("ahead >= 0").drop("ahead"), "block")
 
     first = block.filter(F.col("node") != F.col("pivot.node")).filter(_fits("n", "pivot.n", percent)).select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
     first = staged(_ordered(first), "pairs")
@@ -446,19 +489,22 @@ def _classes(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
     n = links.count()
     found = staged(components(links, n), "labels")
 
-    placed = block.select("token", "node", "n").join(small(found, 2 * n), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = block.select("token", "node", "n", "reach").join(small(found, 2 * n), "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max(F.struct("rows", "component")).alias("most"))
     apart = parts.filter("parts > 1").select("token", F.col("most.component").alias("main"), (F.col("rows") - F.col("most.rows")).alias("outside"))
     mixed = staged(placed.join(apart, "token"), "apart")
-    few = mixed.filter(F.col("outside") <= CROWD)
-    outside = few.filter("component <> main").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    others = few.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_component"), "main")
-    second = small(outside, outside.count()).join(others, "token").filter((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("main")) | (F.col("x") < F.col("y")))).filter(_fits("x_n", "y_n", percent)).select("x", "y")
+    met = staged(_may_meet(mixed.filter(F.col("outside") > CROWD)).drop("outside"), "met")
+    sizes = met.groupBy("token").agg(F.count("*").alias("rows"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("outside"))
+    # of a column's rows, each meets few where they are of many sizes or stand late
+    counted = _meeting(met.join(sizes.filter((F.col("outside") > CROWD) & (F.col("rows") <= WIDE * CROWD)).select("token"), "token")).groupBy("token").agg(F.count("*").alias("pairs"))
+    direct = staged(sizes.join(counted, "token", "left").filter((F.col("outside") <= CROWD) | ((F.col("rows") <= WIDE * CROWD) & (F.coalesce("pairs", F.lit(0)) <= CROWD * F.col("rows")))).select("token"), "direct")
+    few = mixed.filter(F.col("outside") <= CROWD).drop("outside").unionByName(met.join(direct, "token"))
+    second = _meeting(few).select("x", "y")
     second = staged(_ordered(second).join(first, ["a", "b"], "left_anti"), "pairs")
     found = _joined(found, _links(second, nodes, docs, ngram, percent))
 
     # the name of the largest component is one of its rows, the same for all columns that hold it
-    crowded = staged(mixed.filter(F.col("outside") > CROWD).select(F.col("main").alias("list"), "node").distinct(), "crowded")
+    crowded = staged(met.join(direct, "token", "left_anti").select(F.col("main").alias("list"), "node").distinct(), "crowded")
     if crowded.limit(1).count():
         found = _crowded_links(crowded, found, nodes, docs, ngram, percent)
     labelled = rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(found, "node", "left")

@@ -382,6 +382,37 @@ def test_lists_of_differences_stay_linear(spark, monkeypatch):
     assert sum(taken) <= 2 * taken[0], taken
 
 
+def test_rows_that_meet_late_are_not_compared(spark, monkeypatch):
+    """Texts that share a column only behind more columns of their own than linked ones may have are no pairs, and no list of differences."""
+    counted, links = [], near._links
+    monkeypatch.setattr(near, "_links", lambda pairs, *rest: counted.append(pairs.count()) or links(pairs, *rest))
+    monkeypatch.setattr(near, "_differences", lambda members, *_: pytest.fail(f"{members.count()} rows in lists"))
+    rng, base, docs = random.Random(7), prose(1, 200).split(), []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(1, 32), 6):
+            own[6 * at] = f"edit{rng.randrange(10**9)}"
+        docs.append(" ".join(own))
+    docs.append(docs[0] + " more")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(table(spark, docs)).collect()}
+    assert got == brute.components(list(enumerate(docs))) and got[60][1] == 0
+    assert sum(counted) <= 5
+
+
+def test_meeting_rows_equal_brute_force(spark):
+    rng, rows = random.Random(11), []
+    for node in range(240):
+        n, token = rng.choice([90, 100, 100, 115, 130, 200, 1000]), node % 3
+        pos = rng.randrange(n - -(-85 * n // 100) + 1)
+        rows.append((token, node, n, 185 * (n - pos) // 85 - n, rng.choice([0, 1, 2, 1000 + node, 1000 + node]), 0))
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[4] != y[4] and x[2] <= y[3] and y[2] <= x[3]}
+    of = spark.createDataFrame(rows, "token long, node long, n long, reach long, component long, main long")
+    left = near._may_meet(of)
+    for found in (near._meeting(of).collect(), near._meeting(left).collect()):
+        assert len(found) == len(want) and {(min(r.x, r.y), max(r.x, r.y)) for r in found} == want
+    assert 0 < len(want) and left.count() < 240
+
+
 def test_one_of_each_keeps_other_texts_of_an_id(spark):
     a, b, c, d = (prose(k, 50) for k in range(4))
     docs = spark.createDataFrame([(1, a, 0, "x"), (2, a, 1, "x"), (2, b, 2, "x"), (3, c, 3, "x"), (3, d, 4, "x"), (None, d, 5, "x"), (None, prose(9, 50), 6, "x"), (None, None, 7, "x")], "doc_id long, text string, text_key long, component string")
