@@ -16,7 +16,12 @@ the block. Links found there join most of a group of near copies. A second one
 takes what is still apart in a column, the rows outside its largest component,
 against the rows of other components, so no link between components is missed.
 
-Where more than ``CROWD`` rows are outside, as among copies with many edits, the rows
+Two rows meet in a column only if it may be the first that they share: they then have no more
+in common than what stands from there on, so a column's place in a row bounds the sizes of
+the rows that it may be linked to (its reach). A column in which no two rows meet is left out. One with
+more than ``CROWD`` rows outside loses those that meet none, and is compared directly too if few of the rest meet.
+
+Where more than ``CROWD`` rows are outside and many meet, as among copies with many edits, the rows
 are told apart by their differences from what most of them have in common. Let C be the
 columns of more than half of a list's rows, D(x) the columns in which x differs from C,
 and d their number. x and y are linked if D(x) and D(y) differ in at most
